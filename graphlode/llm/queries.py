@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from graphlode.llm import fingerprints
+from graphlode.llm import fingerprints, toxicity
 
 QUERIES = {
+    "op8_toxicity": toxicity.op8_toxicity,
     "op1_winnowing": fingerprints.op1_winnowing,
 }
 ORACLES = {
