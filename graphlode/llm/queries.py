@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from graphlode.llm import fingerprints, toxicity
+from graphlode.llm import fingerprints, neardup, toxicity
 
 QUERIES = {
+    "op9_neardup": neardup.op9_neardup,
     "op8_toxicity": toxicity.op8_toxicity,
     "op1_winnowing": fingerprints.op1_winnowing,
 }
