@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from graphlode.llm import fingerprints, neardup, toxicity
+from graphlode.llm import decontaminate, fingerprints, neardup, toxicity
 
 QUERIES = {
+    "op2_decontamination": decontaminate.op2_decontamination,
     "op9_neardup": neardup.op9_neardup,
     "op8_toxicity": toxicity.op8_toxicity,
     "op1_winnowing": fingerprints.op1_winnowing,
 }
 ORACLES = {
+    "op2_decontamination": decontaminate.SQL,
     "op1_winnowing": fingerprints.SQL,
 }
