@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from graphlode.llm import decontaminate, fingerprints, neardup, toxicity
+from graphlode.llm import decontaminate, fingerprints, mixing, neardup, sharding, toxicity
 
 QUERIES = {
+    "op5_sharding": sharding.op5_sharding,
+    "op7_mixing": mixing.op7_mixing,
     "op2_decontamination": decontaminate.op2_decontamination,
     "op9_neardup": neardup.op9_neardup,
     "op8_toxicity": toxicity.op8_toxicity,
     "op1_winnowing": fingerprints.op1_winnowing,
 }
 ORACLES = {
+    "op7_mixing": mixing.SQL,
     "op2_decontamination": decontaminate.SQL,
     "op1_winnowing": fingerprints.SQL,
 }
