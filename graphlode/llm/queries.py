@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from graphlode.llm import decontaminate, fingerprints, mixing, neardup, sharding, toxicity
+from graphlode.llm import decontaminate, fingerprints, mixing, neardup, sharding, substrings, toxicity
 
 QUERIES = {
+    "op6_substrings": substrings.op6_substrings,
     "op5_sharding": sharding.op5_sharding,
     "op7_mixing": mixing.op7_mixing,
     "op2_decontamination": decontaminate.op2_decontamination,
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_winnowing": fingerprints.op1_winnowing,
 }
 ORACLES = {
+    "op6_substrings": substrings.SQL,
     "op7_mixing": mixing.SQL,
     "op2_decontamination": decontaminate.SQL,
     "op1_winnowing": fingerprints.SQL,
