@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from graphlode.llm import decontaminate, fingerprints, mixing, neardup, sharding, substrings, toxicity
+from graphlode.llm import decontaminate, fingerprints, langid, mixing, neardup, sharding, substrings, tokenids, toxicity
 
 QUERIES = {
+    "op3_token_ids": tokenids.op3_token_ids,
+    "op4_langid": langid.op4_langid,
     "op6_substrings": substrings.op6_substrings,
     "op5_sharding": sharding.op5_sharding,
     "op7_mixing": mixing.op7_mixing,
