@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from graphlode.llm import decontaminate, fingerprints, langid, mixing, neardup, sharding, substrings, tokenids, toxicity
+from graphlode.llm import decontaminate, fingerprints, langid, mixing, neardup, sharding, substrings, tokenids, toxicity, warc
 
 QUERIES = {
+    "op10_warc_transactions": warc.op10_warc_transactions,
     "op3_token_ids": tokenids.op3_token_ids,
     "op4_langid": langid.op4_langid,
     "op6_substrings": substrings.op6_substrings,
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_winnowing": fingerprints.op1_winnowing,
 }
 ORACLES = {
+    "op10_warc_transactions": warc.SQL,
     "op6_substrings": substrings.SQL,
     "op7_mixing": mixing.SQL,
     "op2_decontamination": decontaminate.SQL,
