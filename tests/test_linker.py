@@ -30,7 +30,7 @@ def test_each_rule(spark):
         fn("only", "a/x.py"), method("A", "get", "a/x.py"), method("B", "get", "b/y.py"), method("B", "get", "c/y.py"),
         fn("run", "a/x.py"), fn("run", "b/y.py"), fn("run", "c/z.py"), *(fn("many", f"m{i}/f.py") for i in range(8)), ("a/x.py", "file", "only", "a/x.py", ""),
     ]
-    calls = [("q/q.py", "self.only", None), ("q/q.py", "x.get", "A"), ("q/q.py", "x.get", "B"), ("a/x.py", "run", ""), ("q/q.py", "run", ""), ("q/q.py", "y.run", ""), ("c/other.py", "run", ""), ("q/q.py", "many", ""), ("q/q.py", "none", "")]
+    calls = [("q/q.py", "self.only", None), ("q/q.py", "x.get", "A"), ("q/q.py", "x.get", "B"), ("a/x.py", "run", ""), ("q/q.py", "run", ""), ("q/q.py", "b.y.run", ""), ("c/other.py", "run", ""), ("q/q.py", "many", ""), ("q/q.py", "none", "")]
     out = link(spark, symbols, calls)
     assert out["k0"] == [("a/x.py::only", "high", 2)]
     assert out["k1"] == [("a/x.py::A.get", "high", 3)]
