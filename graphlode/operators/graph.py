@@ -120,7 +120,8 @@ def test_coverage(nodes: DataFrame, edges: DataFrame, max_hops: int = 3) -> Data
     """(id, direct_count, transitive, hops, via) of every node that a test reaches by calls within max_hops.
 
     One search from all tests at once. A test that another test (or itself) calls is covered, so tests don't start as
-    visited. via is the smallest id of the tests nearest to a node that no test calls itself, and empty otherwise.
+    visited. via is the smallest id of the tests nearest to a node that no test calls itself, and empty otherwise. Beyond
+    a direct call a test doesn't cover itself: those that only a ring leads back to are searched once more, each on its own.
     """
     tests = nodes.where(F.array_contains("tags", "test")).select("id")
     calls = edges.where("edge_type = 'calls'").select("source_id", "target_id")
@@ -135,7 +136,13 @@ def test_coverage(nodes: DataFrame, edges: DataFrame, max_hops: int = 3) -> Data
             break
         out = out.unionByName(frontier.select("id", F.lit(0).cast("long").alias("direct_count"), F.lit(True).alias("transitive"), F.lit(hops).alias("hops"), "via"))
         visited = visited.unionByName(frontier.select("id"))
-    return out
+    rings = cut(out.where("hops > 0 AND via = id").select("id"))
+    if rings.isEmpty():
+        return out
+    above = bfs_levels(steps(edges, backward=["calls"]), rings.select(F.col("id").alias("root"), "id"), max_hops).where("depth > 0 AND id <> root")
+    nearest = above.join(tests, "id", "left_semi").groupBy("root").agg(F.min(F.struct("depth", "id")).alias("x"))
+    again = nearest.select(F.col("root").alias("id"), F.lit(0).cast("long").alias("direct_count"), F.lit(True).alias("transitive"), F.col("x.depth").alias("hops"), F.col("x.id").alias("via"))
+    return out.join(rings, "id", "left_anti").unionByName(again)
 
 
 def ancestors(inherits: DataFrame, max_depth: int = 64) -> DataFrame:

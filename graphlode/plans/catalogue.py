@@ -54,8 +54,11 @@ COVER = """
 tests AS (SELECT id FROM nodes WHERE list_contains(tags, 'test')),
 calls AS (SELECT source_id, target_id FROM edges WHERE edge_type = 'calls'),
 d1 AS (SELECT target_id AS id, count(*) AS direct_count, min(source_id) AS via FROM calls WHERE source_id IN (SELECT id FROM tests) GROUP BY 1),
-d2 AS (SELECT target_id AS id, min(via) AS via FROM calls JOIN d1 ON d1.id = source_id WHERE target_id NOT IN (SELECT id FROM d1) GROUP BY 1),
-d3 AS (SELECT target_id AS id, min(via) AS via FROM calls JOIN d2 ON d2.id = source_id WHERE target_id NOT IN (SELECT id FROM d1) AND target_id NOT IN (SELECT id FROM d2) GROUP BY 1),
+u1 AS (SELECT target_id AS root, source_id AS id FROM calls WHERE target_id NOT IN (SELECT id FROM d1)),
+u2 AS (SELECT DISTINCT root, source_id AS id FROM u1 JOIN calls ON target_id = u1.id WHERE source_id <> root),
+d2 AS (SELECT root AS id, min(u2.id) AS via FROM u2 JOIN tests ON tests.id = u2.id GROUP BY root),
+u3 AS (SELECT DISTINCT root, source_id AS id FROM u2 JOIN calls ON target_id = u2.id WHERE source_id <> root AND root NOT IN (SELECT id FROM d2)),
+d3 AS (SELECT root AS id, min(u3.id) AS via FROM u3 JOIN tests ON tests.id = u3.id GROUP BY root),
 cover AS (
   SELECT id, direct_count::BIGINT AS direct_count, true AS transitive, 0 AS hops, '' AS via FROM d1
   UNION ALL SELECT id, 0, true, 2, via FROM d2 UNION ALL SELECT id, 0, true, 3, via FROM d3)"""
