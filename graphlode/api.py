@@ -282,7 +282,7 @@ class Engine:
         kept = stash(composites.viz_nodes(self.nodes, max_nodes), "viz-nodes")
         conflicts = linker.contract_conflicts(self.table("contracts"))
         ids = kept.select(F.col("id").alias("node_id"))
-        paths = self.table("concept_paths").select("id", "name", "path_type", F.explode("node_ids").alias("node_id")).join(ids, "node_id", "left_semi").groupBy("id", "name", "path_type").agg(F.collect_list("node_id").alias("node_ids")).where("size(node_ids) >= 2")
+        paths = self.table("concept_paths").select("id", "name", "path_type", F.posexplode("node_ids").alias("pos", "node_id")).join(ids, "node_id", "left_semi").groupBy("id", "name", "path_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node_id"))), lambda x: x["node_id"]).alias("node_ids")).where("size(node_ids) >= 2")
         return {
             "modules": scores.module_rollup(kept, self.table("file_stats")), "nodes": kept, "edges": composites.viz_edges(self.edges, kept), "cochanges": self.table("cochanges"), "concept_paths": paths,
             "patterns": self.table("patterns").join(ids, "node_id", "left_semi"), "hotspots": self.table("file_stats").where("commits_30d > 0").orderBy(F.desc("commits_30d"), "file_path"),

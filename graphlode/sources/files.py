@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from graphlode.functions import text as tx
@@ -37,18 +42,6 @@ def language_counts(paths: DataFrame) -> DataFrame:
     return paths.groupBy(language(F.col("file_path")).alias("language")).agg(F.count("*").alias("files"))
 
 
-def relative(path: Column, root: str) -> Column:
-    """A file URI's path below root, with forward slashes."""
-    bare = F.regexp_replace(path, "^file:/*", "/")
-    return F.regexp_replace(F.regexp_replace(bare, "%20", " "), f"^/*{_quote(root.strip('/'))}/*", "")
-
-
-def _quote(text: str) -> str:
-    import re
-
-    return re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", text)
-
-
 def scannable(path: Column, ignore: list[str] = (), endings: list[str] | None = None) -> Column:
     """Whether a relative path is scanned: a known ending, no pruned directory or file, not ignored."""
     wanted = [e for ends in LANGUAGES.values() for e in ends] if endings is None else endings
@@ -57,22 +50,53 @@ def scannable(path: Column, ignore: list[str] = (), endings: list[str] | None =
     return tx.extension(path).isin(wanted) & ~pruned & ~F.substring_index(path, "/", -1).isin(PRUNED_FILES) & ~tx.ignored(path, [*DEFAULT_IGNORE, *ignore])
 
 
-def ignore_patterns(spark: SparkSession, root: str) -> list[str]:
-    """The patterns of the tree's ignore file, if it has one: a few lines for the driver."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", IGNORE_FILE).load(root).select("content").head()
-    if found is None:
+def _open(root: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it. Spark's own file sources pass over names that begin with _ or
+    a dot, such as __init__.py, so trees are walked and read by Arrow's file systems."""
+    return pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), os.path.abspath(root))
+
+
+def ignore_patterns(root: str) -> list[str]:
+    """The patterns of the tree's ignore file, if it has one."""
+    fs, base = _open(root)
+    path = f"{base}/{IGNORE_FILE}"
+    if fs.get_file_info(path).type != pafs.FileType.File:
         return []
-    lines = (x.strip() for x in bytes(found["content"]).decode("utf-8", "replace").splitlines())
+    with fs.open_input_stream(path) as f:
+        lines = [x.strip() for x in f.read().decode("utf-8", "replace").splitlines()]
     return [x for x in lines if x and not x.startswith("#")]
 
 
+def walk(root: str) -> Iterator[tuple[str, int, float]]:
+    """(relative path, length, modified) of the files of up to 500 KiB, without going into pruned directories."""
+    fs, base = _open(root)
+    todo = [""]
+    while todo:
+        at = todo.pop()
+        for x in fs.get_file_info(pafs.FileSelector(f"{base}/{at}" if at else base)):
+            rel = f"{at}/{x.base_name}" if at else x.base_name
+            if x.type == pafs.FileType.Directory and x.base_name not in PRUNED_DIRS and not x.base_name.endswith(".egg-info"):
+                todo.append(rel)
+            elif x.type == pafs.FileType.File and x.size <= LARGEST:
+                yield rel, x.size, x.mtime.timestamp() if x.mtime else 0.0
+
+
 def scan(spark: SparkSession, root: str, ignore: list[str] | None = None, endings: list[str] | None = None) -> DataFrame:
-    """(file_path, content, length, modified) of the tree's source files of up to 500 KiB, paths relative to root.
+    """(file_path, content, length, modified) of the tree's source files, paths relative to root.
 
-    Path and length are filtered before contents are read (the length filter is pushed into the source).
+    The driver lists names only; they are filtered as a DataFrame and the files are read by the tasks. root must be where all
+    executors can read it.
     """
-    rules = ignore_patterns(spark, root) if ignore is None else ignore
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= LARGEST)
-    rel = relative(F.col("path"), root)
-    kept = raw.withColumn("file_path", rel).where(scannable(F.col("file_path"), rules, endings))
-    return kept.select("file_path", F.decode("content", "UTF-8").alias("content"), "length", F.col("modificationTime").alias("modified"))
+    rules = ignore_patterns(root) if ignore is None else ignore
+    listed = spark.createDataFrame(list(walk(root)), "file_path string, length long, modified double")
+    kept = listed.where(scannable(F.col("file_path"), rules, endings)).repartition("file_path")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = _open(root)
+        for b in batches:
+            for i, rel in enumerate(b.column(0).to_pylist()):
+                with fs.open_input_stream(f"{base}/{rel}") as f:
+                    text = f.read().decode("utf-8", "replace")
+                yield pa.RecordBatch.from_arrays([pa.array([rel]), pa.array([text]), b.column(1).slice(i, 1), b.column(2).slice(i, 1)], names=["file_path", "content", "length", "modified"])
+
+    return kept.mapInArrow(read, "file_path string, content string, length long, modified double")

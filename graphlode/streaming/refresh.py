@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from graphlode.operators.content import hash_diff
-from graphlode.sources.files import IGNORE_FILE, scannable  # noqa: F401
+from graphlode.sources.files import scannable
 
 EVENTS = "file_path string, event string"
 DEBOUNCE = 2.0
