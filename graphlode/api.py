@@ -27,7 +27,7 @@ class Engine:
         """as_of: the moment from which days are counted back, the time of the call by default."""
         self.spark, self.store, self._as_of = spark, Store(spark, store), as_of
 
-    # ---- building ----
+    # -- building
 
     def build(self, root: str, commits: DataFrame | None = None, strict_callees: bool = True) -> None:
         """Scans, parses, links and scores the tree, and writes all tables. commits: (hash, author, date, files), taken from
@@ -94,7 +94,7 @@ class Engine:
 
         return self._as_of or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%d %H:%M:%S")
 
-    # ---- tables ----
+    # -- tables
 
     @cached_property
     def nodes(self) -> DataFrame:
@@ -117,9 +117,9 @@ class Engine:
             raise UnknownSymbol(query, candidates)
         return found
 
-    # ---- questions ----
+    # -- questions
 
-    def nav(self, query: str, budget: int = 5, exclude_category: list[str] = (), include_category: list[str] = ()) -> dict[str, DataFrame]:
+    def nav(self, query: str, budget: int = 5, include_category: list[str] = (), exclude_category: list[str] = ()) -> dict[str, DataFrame]:
         """primary, secondary, cochange, warnings, read_order and flows of a question in plain words."""
         seeds = stash(search.navigate_scores(self.nodes, self.table("keywords"), query, exclude_category, include_category), "seeds")
         ranked = self._cohesive(seeds, budget)
@@ -150,16 +150,16 @@ class Engine:
         if len(top) >= 2:
             for r in top:
                 parts = r["file_path"].split("/")
-                for depth in range(1, min(len(parts), 4)):
-                    shared["/".join(parts[:depth])] = shared.get("/".join(parts[:depth]), 0) + 1
+                for at in (x for x in (1, 2, 3) if x < len(parts)):
+                    shared["/".join(parts[:at])] = shared.get("/".join(parts[:at]), 0) + 1
         fits = [p for p, n in shared.items() if n >= max(2, len(top) // 2 + 1)]
-        words = lambda p: {t for t in re.split(r"[\\/._-]", p.lower()) if t}
+        words = lambda p: {t for t in re.split(r"[-_./\\]", p.lower()) if t}
         prefix = words(max(fits, key=len)) if fits else set()
         score = lambda r: r["score"] - (r["match"] * 2 * 0.7 if prefix and not prefix & words(r["file_path"]) else 0)
         most = max((r["coverage"] for r in rows), default=0)
         return sorted(rows, key=lambda r: (most >= 2 and r["coverage"] < most, -score(r), r["node_id"]))
 
-    def blast_radius(self, symbol: str, depth: int = 3, pick: int | None = None, exclude_category: list[str] = (), include_category: list[str] = ()) -> DataFrame:
+    def blast_radius(self, symbol: str, pick: int | None = None, depth: int = 3, include_category: list[str] = (), exclude_category: list[str] = ()) -> DataFrame:
         found = graph.blast_radius(self.edges, self.symbol(symbol, pick), depth).join(self.nodes, "id")
         kind = tx.category_of_tags(F.col("tags"))
         if exclude_category:

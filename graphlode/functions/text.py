@@ -45,14 +45,16 @@ win: final leaderboard outcome result score victory winner
 """
 SYNONYMS = {k: v.split() for k, v in (line.split(":") for line in SYNONYM_LINES.strip().splitlines())}
 
-_SUFFIX = r"(?:ing|tion|ment|ness|able|ible|ous|ive|ed|er|es|ly|al|ful)$"
+_SUFFIX = f"(?:{'|'.join('able al ed er es ful ible ing ive ly ment ness ous tion'.split())})$"
+#: Between a small letter or digit and a capital, and before the last capital of several that a small letter follows.
+_BREAK = "(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
 
 
-# ---- identifiers ---------------------------------------------------------------------------------------------------
+# -- identifiers
 
 
 def _humps(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, "([A-Z]+)([A-Z][a-z])", "$1_$2"), "([a-z0-9])([A-Z])", "$1_$2")
+    return F.regexp_replace(c, _BREAK, "_")
 
 
 def identifier_parts(name: Column) -> Column:
@@ -62,7 +64,7 @@ def identifier_parts(name: Column) -> Column:
 
 
 def split_humps(text: str) -> list[str]:
-    return re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1_\2", text)).split("_")
+    return re.sub(_BREAK, "_", text).split("_")
 
 
 def query_terms(query: str) -> list[str]:
@@ -101,7 +103,7 @@ def keyword_array(words: Column) -> Column:
     return F.array_distinct(F.filter(low, lambda w: (F.length(w) >= 3) & ~w.isin(KEYWORD_STOPS)))
 
 
-# ---- paths ---------------------------------------------------------------------------------------------------------
+# -- paths
 
 #: Category: (parts anywhere in the path, beginnings of the file's name), in order of precedence.
 CATEGORIES: list[tuple[str, str, str]] = [
@@ -112,7 +114,7 @@ CATEGORIES: list[tuple[str, str, str]] = [
     ("example", r"/(examples?|samples?|demos?)/", ""),
     ("doc", r"/(docs?|documentation)/", ""),
 ]
-LOW_PRIORITY = ["test", "doc", "example", "vendor", "generated", "script"]
+LOW_PRIORITY = "doc example generated script test vendor".split()
 
 
 def _rooted(path: Column) -> Column:
@@ -212,8 +214,7 @@ def ignored(path: Column, patterns: list[str]) -> Column:
         pattern = raw[1:] if negated else raw
         only_dirs = pattern.endswith("/")
         pattern = pattern.rstrip("/")
-        while pattern.startswith("**/"):
-            pattern = pattern[3:]
+        pattern = re.sub(r"^(\*\*/)+", "", pattern)
         if not pattern:
             continue
         if "**" in pattern:
@@ -228,7 +229,7 @@ def ignored(path: Column, patterns: list[str]) -> Column:
     return F.lit(False) if out is None else out.otherwise(False)
 
 
-# ---- lines, literals, signatures -----------------------------------------------------------------------------------
+# -- lines, literals, signatures
 
 LINE_ENDS = r"\r\n|\r|\n"
 COMMENT = r"^\s*(#|//|/\*|\*|--|;)"
@@ -247,7 +248,7 @@ def symbol_hash(content: Column, line_start: Column, line_end: Column) -> Column
 
 def literals(line: Column) -> Column:
     """The identifier-shaped texts of 3 to 64 characters in quotes on a line that is no comment."""
-    found = F.regexp_extract_all(line, F.lit("[\"']([A-Za-z_][A-Za-z0-9_]{2,63})[\"']"), F.lit(1))
+    found = F.regexp_extract_all(line, F.lit("[\"']([A-Za-z_]\\w{2,63})[\"']"), F.lit(1))
     return F.when(line.rlike(STRING_COMMENT), F.array().cast("array<string>")).otherwise(found)
 
 
@@ -256,7 +257,7 @@ def author(raw: Column) -> Column:
     r = F.trim(raw)
     name = F.trim(F.regexp_extract(r, "^(.*)<[^<]*>$", 1))
     mail = F.trim(F.regexp_extract(r, "<([^<]*)>$", 1))
-    handle = F.regexp_extract(mail, r"^(?:\d+\+)?([A-Za-z0-9][A-Za-z0-9._-]*)@users\.noreply\.github\.com$", 1)
+    handle = F.regexp_extract(mail, r"^(?:\d+\+)?(\p{Alnum}[\p{Alnum}._-]*)@" + r"users\.noreply\.github\.com$", 1)
     named = F.when(name == "", F.concat(F.lit("@"), handle)).otherwise(F.concat(name, F.lit(" (@"), handle, F.lit(")")))
     return F.when(~r.rlike("<[^<]*>$"), r).when(handle != "", named).when(name == "", mail).otherwise(r)
 

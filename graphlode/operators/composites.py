@@ -130,7 +130,7 @@ def tech_stack(keywords: DataFrame) -> DataFrame:
     return found.unionByName(keywords.sparkSession.createDataFrame([("Python",)], "technology string"))
 
 
-# ---- questions -----------------------------------------------------------------------------------------------------
+# -- questions
 
 #: Phrases of a statement "A <phrase> B" in order of precedence: (phrase, edge type, whether B is the source).
 VERBS = [("is called by", "calls", True), ("called by", "calls", True), ("inherits from", "inherits", False), ("inherits", "inherits", False), ("extends", "inherits", False), ("imported by", "imports", True), ("imports", "imports", False), ("calls", "calls", False)]
@@ -173,7 +173,7 @@ def ask_all(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.where("kind <> 'file'").join(n, "id", "left").select("id", s.alias("signature"), tx.is_async(s, F.col("tags")).alias("is_async"), tx.return_type(s).alias("returns"), F.coalesce("callers", F.lit(0)).cast("long").alias("callers_count"))
 
 
-# ---- test runs -----------------------------------------------------------------------------------------------------
+# -- test runs
 
 
 def run_summary(runs: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ def uses(files: DataFrame, identifier: str, path_glob: str | None = None, per_fi
     of each file and the first `limit` of all, by path and line."""
     import re
 
-    if not re.fullmatch("[A-Za-z_][A-Za-z0-9_]{0,63}", identifier):
+    if not re.fullmatch(r"[A-Za-z_]\w{0,63}", identifier, re.ASCII):
         raise ValueError("an identifier has letters, digits and underscores, 64 at most, and no digit first")
     chosen = files if path_glob is None else files.where(tx.glob_matches(F.col("file_path"), path_glob))
     able = chosen.where(F.col("content").contains(identifier))

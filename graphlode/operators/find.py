@@ -17,7 +17,7 @@ LIFECYCLE = """__init_subclass__ apps clean delete dispatch full_clean get_query
 on_startup perform_create ready save setUp setUpClass setup_class setup_method tearDown tearDownClass teardown_class
 teardown_method""".split()
 #: What find() leaves out when it looks for untested nodes and no category is asked for.
-UNTESTED_EXCLUDES = ["test", "doc", "example", "vendor", "generated", "script"]
+UNTESTED_EXCLUDES = tx.LOW_PRIORITY
 
 
 def framework_entry(name: Column, tags: Column) -> Column:
@@ -44,7 +44,7 @@ def dead(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def find(
-    nodes: DataFrame, edges: DataFrame, kind: str | None = None, tag: str | None = None, importance_gt: float | None = None, no_tests: bool = False, no_direct_tests: bool = False,
+    nodes: DataFrame, edges: DataFrame, tag: str | None = None, kind: str | None = None, no_direct_tests: bool = False, no_tests: bool = False, importance_gt: float | None = None,
     crosses: bool = False, is_dead: bool = False, exclude: list[str] = (), include: list[str] = (), include_fixtures: bool = False,
 ) -> DataFrame:
     """nodes that fit all that is asked for. Without tests: tests themselves are left out, and low-priority categories

@@ -25,7 +25,7 @@ def file_stats(commits: DataFrame, as_of: str) -> DataFrame:
 
 
 def cochanges(commits: DataFrame, min_count: int = 2, min_coupling: float = 0.2) -> DataFrame:
-    """(file_a, file_b, co_commit_count, total_commits_a, total_commits_b, last_co_commit, coupling_score, commit_ids).
+    """Pairs of files with the number of common commits, either file's total, the last date, the score and up to 20 commits.
 
     Pairs come from commits of 2 to 15 files, totals from all commits; the score is the count through the larger total. The
     pairs of a commit are made inside its row, at most 105 of them, so nothing but pairs is shuffled.
@@ -61,7 +61,7 @@ def hotspots(commits: DataFrame, as_of: str, days: int = 7, top: int = 10) -> Da
     return n.orderBy(F.desc("commits"), "file_path").limit(top)
 
 
-# ---- the log -------------------------------------------------------------------------------------------------------
+# -- the log
 
 
 def parse_log(lines: DataFrame) -> DataFrame:

@@ -94,7 +94,7 @@ def inherits_edges(classes: DataFrame) -> DataFrame:
     return met.groupBy("source_id", "base").agg(best.alias("target_id")).select("source_id", "target_id").distinct().select("source_id", "target_id", F.lit("inherits").alias("edge_type"), F.lit(1.0).alias("weight"))
 
 
-# ---- contracts -----------------------------------------------------------------------------------------------------
+# -- contracts
 
 
 def contracts(calls: DataFrame, linked: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from graphlode.functions import text as tx
 from graphlode.storage import broadcast_if_small, cut
 
-WEIGHTS = {"calls": 2.0, "inherits": 1.5, "imports": 0.5, "instantiates": 1.0}
+WEIGHTS = dict(calls=2.0, imports=0.5, inherits=1.5, instantiates=1.0)
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ def extract_keywords(nodes: DataFrame) -> DataFrame:
     Arrays are made and exploded inside the row, so nothing is shuffled.
     """
     name = F.concat(F.array("name"), tx.identifier_parts(F.col("name")))
-    words = F.regexp_extract_all(F.coalesce("docstring", F.lit("")), F.lit("[a-zA-Z_][a-zA-Z0-9_]*"), F.lit(0))
+    words = F.regexp_extract_all(F.coalesce("docstring", F.lit("")), F.lit(r"[a-zA-Z_]\w*"), F.lit(0))
     bases = lambda t: F.concat(F.array(F.lit("extends")), F.split(F.substring(t, 9, 100000), ","))
     tags = F.flatten(F.transform("tags", lambda t: F.when(t.startswith("extends:"), bases(t)).otherwise(F.array(t))))
     stems = F.transform(F.split(F.translate("file_path", "\\", "/"), "/"), lambda p: F.regexp_replace(p, r"\.[^.]*$", ""))
@@ -103,7 +103,7 @@ def navigate_scores(nodes: DataFrame, keywords: DataFrame, query: str, exclude:
     return met.select("node_id", F.col("score").alias("match"), n.alias("coverage"), (n > 0).alias("strong"), total.alias("score"), "name", "kind", "file_path", "importance")
 
 
-# ---- fuzzy resolution ----------------------------------------------------------------------------------------------
+# -- fuzzy resolution
 
 
 @F.pandas_udf(T.DoubleType())
@@ -114,7 +114,7 @@ def _ratio(name: pd.Series, query: pd.Series) -> pd.Series:
 def fuzzy_scores(nodes: DataFrame, query: str, similar: bool = True) -> DataFrame:
     """(id, score) of the symbols that a query may mean. Names like the query's come by similarity, which alone takes
     Python, and only for names that no other rule fits; similar=False leaves them out."""
-    query = query.replace("\\", "/").lower()
+    query = query.lower().translate({92: "/"})
     qualified = query.split("::")[-1]
     short = qualified.split(".")[-1]
     context = query.split("::", 1)[0]
@@ -142,10 +142,10 @@ def tiebreak(query: str) -> Column:
     file named as the query's class win."""
     low = F.when(tx.category_of_tags(F.col("tags")).isin(tx.LOW_PRIORITY), -10.0).otherwise(0.0)
     out = low + F.coalesce("importance", F.lit(0.0)) * 0.01
-    name = query.split("::")[-1]
+    name = query.rpartition("::")[2]
     if "." in name:
         stem = F.lower(F.regexp_replace(F.substring_index(F.translate("file_path", "\\", "/"), "/", -1), r"\.[^.]*$", ""))
-        out = out + F.when(stem == name.split(".", 1)[0].lower(), 2.0).otherwise(0.0)
+        out = out + F.when(stem == name.partition(".")[0].lower(), 2.0).otherwise(0.0)
     return out
 
 

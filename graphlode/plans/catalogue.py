@@ -69,14 +69,14 @@ WITH RECURSIVE edges AS (
   SELECT DISTINCT 'p:' || a.l_partkey AS source_id, 'p:' || b.l_partkey AS target_id FROM lineitem a JOIN lineitem b
   ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey)"""
 _STOPS = ", ".join(f"'{w}'" for w in tx.KEYWORD_STOPS)
-KEYWORDS = f"""
+KEYWORDS = rf"""
 WITH words AS (
-  SELECT 'd:' || doc_id AS node_id, 'docstring' AS source, unnest(regexp_extract_all(text, '[a-zA-Z_][a-zA-Z0-9_]*')) AS w FROM documents
+  SELECT 'd:' || doc_id AS node_id, 'docstring' AS source, unnest(regexp_extract_all(text, '[a-zA-Z_]\w*')) AS w FROM documents
   UNION ALL SELECT 'd:' || doc_id, 'name', unnest([source || '_' || lang, source, lang]) FROM documents
   UNION ALL SELECT 'd:' || doc_id, 'tag', unnest(['source:' || source, CASE WHEN lang = 'en' THEN 'category:core' ELSE 'category:doc' END]) FROM documents
   UNION ALL SELECT 'd:' || doc_id, 'file_path', unnest([lang, source]) FROM documents),
 keywords AS (SELECT DISTINCT lower(w) AS keyword, node_id, source FROM words WHERE length(w) >= 3 AND lower(w) NOT IN ({_STOPS}))"""
-_WEIGHT = "CASE source WHEN 'name' THEN 3 WHEN 'docstring' THEN 2 WHEN 'tag' THEN 2 ELSE 1 END"
+_WEIGHT = "CASE WHEN source = 'name' THEN 3 WHEN source IN ('tag', 'docstring') THEN 2 ELSE 1 END"
 EVENT_COMMITS = """
 WITH commits AS (
   SELECT md5(user_id::VARCHAR || '|' || strftime(ts, '%Y-%m-%d')) AS hash, 'user_' || user_id AS author, max(ts) AS date, list(DISTINCT event_type) AS files
@@ -140,7 +140,7 @@ def _busiest(e: DataFrame, column: str) -> str:
     return e.groupBy(column).count().orderBy(F.desc("count"), column).first()[0]
 
 
-# ---- scores, filters, scans ----------------------------------------------------------------------------------------
+# -- scores, filters, scans
 
 
 @query("importance_top", f"{SCORED} SELECT id, importance, importance_rank FROM ranked ORDER BY importance DESC, id LIMIT 20")
@@ -261,7 +261,7 @@ def _(spark, d):
     return scores.module_rollup(b.nodes(spark, d), history.file_stats(b.order_commits(spark, d), b.AS_OF_ORDERS))
 
 
-# ---- traversal -----------------------------------------------------------------------------------------------------
+# -- traversal
 
 
 @query("test_coverage", f"{GRAPH},{COVER} SELECT id, direct_count, transitive, hops, via FROM cover")
@@ -367,7 +367,7 @@ def _(spark, d):
     return graph.dispatches(methods, graph.ancestors(inherits))
 
 
-# ---- history -------------------------------------------------------------------------------------------------------
+# -- history
 
 
 @query("file_stats", f"{EVENT_COMMITS},{_stats(b.AS_OF_EVENTS)} SELECT * FROM stats")
@@ -413,7 +413,7 @@ def _(spark, d):
     return history.parse_log(lines.select("log", (F.unix_date(F.to_date("day")) * 1000 + F.col("i")).cast("long").alias("n"), "line")).select("hash", "author", "date", F.size("files").alias("n_files"))
 
 
-# ---- text and search -----------------------------------------------------------------------------------------------
+# -- text and search
 
 TERMS, PREFIXES, QUESTION = ["the", "and", "que", "les", "der"], ["tion", "ent", "wh", "qua"], "where are the tioners of src12 and thering"
 _IN = ", ".join(f"'{t}'" for t in TERMS)
@@ -493,7 +493,7 @@ del ORACLES["query_terms"]  # the order of first occurrences is beyond the oracl
 
 
 @query("string_refs", r"""WITH l AS (SELECT lang || '/' || source || '/d' || lpad(doc_id::VARCHAR, 12, '0') || '.py' AS file_path, unnest(regexp_split_to_array(text, '\r\n|\r|\n')) AS line, generate_subscripts(regexp_split_to_array(text, '\r\n|\r|\n'), 1)::INT AS line_number FROM documents)
-SELECT DISTINCT unnest(regexp_extract_all(line, '["'']([A-Za-z_][A-Za-z0-9_]{2,63})["'']', 1)) AS literal, file_path, line_number, 'string_literal' AS context FROM l WHERE NOT regexp_matches(line, '^\s*(#|//|/\*|\*)')""")
+SELECT DISTINCT unnest(regexp_extract_all(line, '["'']([A-Za-z_]\w{2,63})["'']', 1)) AS literal, file_path, line_number, 'string_literal' AS context FROM l WHERE NOT regexp_matches(line, '^\s*(#|//|/\*|\*)')""")
 def _(spark, d):
     return content.string_refs(b.files(spark, d))
 
@@ -549,7 +549,7 @@ def _(spark, d):
     return composites.tech_stack(_keywords(spark, d))
 
 
-# ---- linker, contracts, patterns -----------------------------------------------------------------------------------
+# -- linker, contracts, patterns
 
 _LINK = """
 WITH sym AS (SELECT 'p:' || p_partkey AS id, p_name || ' ' || p_size AS name, p_type || '/' || p_brand || '.py' AS file_path, p_brand, p_type, p_size FROM part),
@@ -656,7 +656,7 @@ def _(spark, d):
     return patterns.grouped(patterns.detect(*_pattern_graph(spark, d))).select("pattern", "total", F.concat_ws(",", "shown").alias("shown"))
 
 
-# ---- reports -------------------------------------------------------------------------------------------------------
+# -- reports
 
 
 def _part_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:

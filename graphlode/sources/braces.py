@@ -46,6 +46,7 @@ _GO_RECEIVER = _re(r"^func\s+\(\s*\w*\s*\*?(\w+)")
 _RUST_IMPL = _re(r"^\s*(?:unsafe\s+)?impl(?:<[^>]*>)?\s+(?:([\w:]+)(?:<[^>]*>)?\s+for\s+)?(\w+)")
 _CALL = _re(r"([A-Za-z_][\w.:>-]*?)!?\s*\(")
 _WORDS = {"if", "for", "while", "switch", "catch", "return", "else", "function", "elif", "match", "fn", "func", "def", "new", "sizeof", "typeof", "super", "when", "unless", "until", "throw", "using", "lock", "foreach", "not", "and", "or"}
+_BODIES = ("function", "method")
 _FACTORY = _re(r"^(create|build|make|New|Create|Make|Build)(?=[A-Z_]|$)")
 
 
@@ -136,7 +137,8 @@ def parse_braces(path: str, source: str, language: str) -> dict:
         if d.caught and re.search(rf"\b{d.caught}\b", line):
             guard.append(depth)
         body = fn if not (opened and opened["kind"] in ("function", "method")) else opened
-        rest = line[f.end() :] if f and opened and opened["kind"] in ("function", "method") else "" if opened else line
+        starts = bool(f and opened and opened["kind"] in _BODIES)
+        rest = line[f.end() :] if starts else "" if opened else line
         if body:
             for call in _CALL.finditer(rest):
                 if call.group(1) not in _WORDS:

@@ -18,13 +18,12 @@ PRUNED_DIRS = """.bundle .egg-info .eggs .git .gradle .graphlode .idea .mvn .myp
 node_modules obj out packages pkg sample samples target test_data testdata third-party third_party thirdparty vendor
 venv""".split()
 PRUNED_FILES = """Cargo.lock Gemfile.lock conftest.py go.sum package-lock.json pnpm-lock.yaml setup.cfg setup.py yarn.lock""".split()
-DEFAULT_IGNORE = ["__pycache__/", ".git/", ".venv/", "venv/", "env/", "node_modules/", ".tox/", ".mypy_cache/", ".pytest_cache/", "*.egg-info/", "dist/", "build/", ".graphlode/", "*.min.js", "*.min.css", "*.bundle.js", "*.chunk.js"]
+DEFAULT_IGNORE = """*.bundle.js *.chunk.js *.egg-info/ *.min.css *.min.js .git/ .graphlode/ .mypy_cache/ .pytest_cache/ .tox/ .venv/
+__pycache__/ build/ dist/ env/ node_modules/ venv/""".split()
 
 #: Language: its files' endings.
-LANGUAGES: dict[str, list[str]] = {
-    "python": [".py"], "javascript": [".js", ".jsx", ".mjs", ".cjs"], "typescript": [".ts"], "tsx": [".tsx"], "java": [".java"], "go": [".go"], "rust": [".rs"],
-    "c": [".c", ".h"], "cpp": [".cpp", ".cc", ".cxx", ".hpp", ".hh", ".hxx"], "csharp": [".cs"], "ruby": [".rb"],
-}
+_ENDINGS = "c=c,h cpp=cc,cpp,cxx,hh,hpp,hxx csharp=cs go=go java=java javascript=cjs,js,jsx,mjs python=py ruby=rb rust=rs tsx=tsx typescript=ts"
+LANGUAGES: dict[str, list[str]] = {k: [f".{e}" for e in v.split(",")] for k, v in (x.split("=") for x in _ENDINGS.split())}
 
 
 def register_language(name: str, endings: list[str]) -> None:

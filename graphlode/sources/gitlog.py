@@ -14,9 +14,9 @@ LINES = "log string, n long, line string"
 
 def git_lines(root: str, commits: int = COMMITS) -> list[str]:
     """The last commits with their files; none outside a repository or without git."""
-    command = ["git", "-C", root, "log", f"-{commits}", "--no-merges", "--pretty=format:COMMIT|%H|%an <%ae>|%aI", "--name-only"]
+    command = ["git", "-C", root, "log", "--name-only", f"-{commits}", "--no-merges", "--pretty=format:COMMIT|%H|%an <%ae>|%aI"]
     try:
-        done = subprocess.run(command, capture_output=True, text=True, encoding="utf-8", errors="replace", timeout=TIMEOUT, check=False)
+        done = subprocess.run(command, check=False, timeout=TIMEOUT, errors="replace", encoding="utf-8", capture_output=True)
     except (OSError, subprocess.TimeoutExpired):
         return []
     return done.stdout.splitlines() if done.returncode == 0 else []

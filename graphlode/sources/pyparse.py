@@ -8,39 +8,34 @@ ROUTE_WORDS = ("api_view", "delete", "get", "patch", "post", "put", "route")
 VALIDATOR_WORDS = ("computed_field", "serializer", "validate", "validator")
 HOOK_WORDS = ("after_request", "before_request", "event_handler", "hookimpl", "hookspec", "lifespan", "listener", "middleware", "on_event", "receiver", "shutdown", "signal", "startup")
 MODEL_BASES = {"BaseModel", "Model", "NamedTuple", "Schema", "TypedDict"}
-FACTORIES, SERIALIZERS = ("create_", "build_", "make_", "get_or_create_"), ("to_", "from_", "serialize", "deserialize", "parse_", "format_")
+FACTORIES, SERIALIZERS = tuple("build_ create_ get_or_create_ make_".split()), tuple("deserialize format_ from_ parse_ serialize to_".split())
 
 
 def _dunder(name: str) -> bool:
-    return name.startswith("__") and name.endswith("__")
+    return name[:2] == name[-2:] == "__"
 
 
 def _simple(base: str) -> str:
-    return base.split("[")[0].split(".")[-1]
+    return base.partition("[")[0].rpartition(".")[2]
 
 
 def _decorator_names(decorators: list[str]) -> list[str]:
     return [f"decorator:{d.split('(', 1)[0].strip()}" for d in decorators]
 
 
-def class_tags(name: str, bases: list[str], decorators: list[str]) -> list[str]:
+def class_tags(name: str, decorators: list[str], bases: list[str]) -> list[str]:
     tags = _decorator_names(decorators)
     if bases:
         tags.append("extends:" + ",".join(bases))
     if any(_simple(b) in MODEL_BASES for b in bases) or any("dataclass" in d for d in decorators):
         tags.append("data_model")
-    if name.startswith("Test"):
-        tags.append("test")
-    if _dunder(name):
-        tags.append("dunder")
-    elif name.startswith("_"):
-        tags.append("private")
+    tags += ["test"] * name.startswith("Test") + (["dunder"] if _dunder(name) else ["private"] * name.startswith("_"))
     if any(_simple(b) in ("ABC", "ABCMeta") for b in bases):
         tags.append("abstract")
     return tags
 
 
-def function_tags(name: str, is_async: bool, decorators: list[str]) -> list[str]:
+def function_tags(name: str, decorators: list[str], is_async: bool) -> list[str]:
     tags = _decorator_names(decorators)
     bare = name.lstrip("_")
     by_name = {
@@ -53,7 +48,7 @@ def function_tags(name: str, is_async: bool, decorators: list[str]) -> list[str]
         fits = {
             "route_handler": any(w in low for w in ROUTE_WORDS), "property": d == "property" or last in ("setter", "deleter") and "." in d or d in ("cached_property", "functools.cached_property"),
             "static": d == "staticmethod", "classmethod": d == "classmethod", "abstract": last == "abstractmethod", "validator": any(w in low for w in VALIDATOR_WORDS),
-            "override": d in ("override", "typing.override", "typing_extensions.override"), "overload": d in ("overload", "typing.overload", "typing_extensions.overload"), "hook": any(w in low for w in HOOK_WORDS),
+            **{t: d == t or last == t and d.partition(".")[0] in ("typing", "typing_extensions") for t in ("overload", "override")}, "hook": any(w in low for w in HOOK_WORDS),
         }
         tags += [t for t, yes in fits.items() if yes and t not in tags]
     return tags
@@ -129,7 +124,7 @@ class _Calls:
             return
         if isinstance(n, ast.Try | ast.TryStar):
             named = [x for h in n.handlers for x in ([h.type] if not isinstance(h.type, ast.Tuple) else h.type.elts) if isinstance(x, ast.Name)]
-            inner = {"pattern": "try_except", "exception": ",".join(x.id for x in named) or "BaseException"}
+            inner = {"exception": ",".join(x.id for x in named) or "BaseException", "pattern": "try_except"}
             for s in n.body:
                 self.walk(s, inner, [])
             for s in [x for h in n.handlers for x in h.body] + n.orelse + n.finalbody:
@@ -167,7 +162,7 @@ def parse_python(path: str, source: str) -> dict:
         node_id = f"{path}::{cls}.{n.name}" if cls else f"{path}::{n.name}"
         returns = f" -> {ast.unparse(n.returns)}" if n.returns else ""
         decorators = [ast.unparse(d) for d in n.decorator_list]
-        add(n, "method" if cls else "function", node_id, parent, f"{n.name}({ast.unparse(n.args)}){returns}", function_tags(n.name, isinstance(n, ast.AsyncFunctionDef), decorators))
+        add(n, "method" if cls else "function", node_id, parent, f"{n.name}({ast.unparse(n.args)}){returns}", function_tags(n.name, decorators, isinstance(n, ast.AsyncFunctionDef)))
         calls = _Calls(node_id, {**self_types, **_local_types(n)})
         for s in n.body:
             calls.walk(s, None, [])
@@ -176,7 +171,7 @@ def parse_python(path: str, source: str) -> dict:
     def klass(n: ast.ClassDef, parent: str) -> None:
         bases = [ast.unparse(b) for b in n.bases if isinstance(b, ast.Name | ast.Attribute | ast.Subscript)]
         node_id = f"{path}::{n.name}"
-        add(n, "class", node_id, parent, f"class {n.name}({', '.join(bases)})" if bases else f"class {n.name}", class_tags(n.name, bases, [ast.unparse(d) for d in n.decorator_list]))
+        add(n, "class", node_id, parent, f"class {n.name}({', '.join(bases)})" if bases else f"class {n.name}", class_tags(n.name, [ast.unparse(d) for d in n.decorator_list], bases))
         methods = [m for m in n.body if isinstance(m, ast.FunctionDef | ast.AsyncFunctionDef)]
         self_types = {k: v for m in methods for k, v in _local_types(m).items() if k.startswith("self.")}
         for m in n.body:
