@@ -31,7 +31,7 @@ def encoding(path: str = VOCABULARY):
     return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-# ---- the coding ----------------------------------------------------------------------------------------------------
+# -- the coding
 
 _LENGTH = np.array([[(c >> (2 * i)) % 4 + 1 for i in range(4)] for c in range(256)], dtype=np.int64)
 _OFFSET = np.cumsum(_LENGTH, axis=1) - _LENGTH
@@ -66,7 +66,7 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
     return (d[place] | (d[place + 1] << 8) | (d[place + 2] << 16) | (d[place + 3] << 24)) & _MASK[c].ravel()[:n]
 
 
-# ---- the operator --------------------------------------------------------------------------------------------------
+# -- the operator
 
 
 def raw_ids(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:

@@ -202,7 +202,7 @@ def scorer(lexicon: Lexicon):
     return F.arrow_udf(run, "struct<score: double, clauses: bigint>")
 
 
-# ---- fitting -------------------------------------------------------------------------------------------------------
+# -- fitting
 
 
 def _features(c: tk.Codes) -> tuple[np.ndarray, np.ndarray]:
@@ -315,7 +315,7 @@ def _choose(good: np.ndarray, odds: np.ndarray, rows: list[np.ndarray]) -> Lexic
     return Lexicon(words, prefixes)
 
 
-# ---- operators -----------------------------------------------------------------------------------------------------
+# -- operators
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame, reject: float = REJECT) -> DataFrame:

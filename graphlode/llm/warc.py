@@ -21,7 +21,7 @@ _KEPT = ("record_id", "type", "target_uri", "date", "content_type", "headers", "
 DATE = "2024-01-01T00:00:00Z"
 
 
-# ---- reading -------------------------------------------------------------------------------------------------------
+# -- reading
 
 
 def parse(raw: bytes) -> dict | None:
@@ -89,7 +89,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return parse_records(files.mapInArrow(run, "record binary"))
 
 
-# ---- writing -------------------------------------------------------------------------------------------------------
+# -- writing
 
 
 def _urn(*parts: Column) -> Column:
@@ -124,7 +124,7 @@ def archive(pages: DataFrame) -> DataFrame:
     return p.select(F.explode(F.array(*(record(k) for k in blocks))).alias("record"))
 
 
-# ---- assembly ------------------------------------------------------------------------------------------------------
+# -- assembly
 
 
 def assemble(records: DataFrame) -> DataFrame:

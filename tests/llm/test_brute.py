@@ -45,7 +45,7 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
 
 
-# ---- 1 ----
+# -- 1
 
 
 def brute_winnow(text, k, w):
@@ -82,7 +82,7 @@ def test_winnowing_guarantee(spark):
     assert all(got[2 * i] & got[2 * i + 1] for i in range(20))
 
 
-# ---- 2 ----
+# -- 2
 
 
 def brute_matches(docs, items, n, near):
@@ -135,7 +135,7 @@ def test_decontamination(spark):
     assert {(0, 0), (1, 1), (0, 2), (5, 3), (3, 4), (1, 6)} <= {(a, b) for a, b, _, _ in got} and not any(b == 5 and a == 4 for a, b, _, _ in got)
 
 
-# ---- 3 ----
+# -- 3
 
 
 def test_coding_round_trip():
@@ -162,7 +162,7 @@ def test_ids_give_back_the_texts(spark):
         assert enc.decode([int(i) for i in ids]) == (rows[x.doc_id] or "")
 
 
-# ---- 4 ----
+# -- 4
 
 
 def test_language_held_out(spark):
@@ -187,7 +187,7 @@ def test_language_by_hand(spark):
     assert n[0] == len(buckets) == 5 + 4 + 3 and np.allclose(score[0], want, rtol=1e-5)
 
 
-# ---- 5 ----
+# -- 5
 
 
 def best_fit(sizes, capacity):
@@ -247,7 +247,7 @@ def test_shards_hold(spark):
     assert max(x.shard for x in got) + 1 == best_fit([len(t) * n for t, n in groups.items()], 700)
 
 
-# ---- 6 ----
+# -- 6
 
 
 def brute_intervals(rows, length):
@@ -280,7 +280,7 @@ def test_substrings(spark):
         assert got == brute_intervals(rows, length) and got
 
 
-# ---- 7 ----
+# -- 7
 
 
 def test_mixture(spark):
@@ -316,7 +316,7 @@ def test_mixture(spark):
         assert all(abs(share[s] - n * w / 8) <= 3 for s, w in weights.items())
 
 
-# ---- 8 ----
+# -- 8
 
 
 def score(text, lexicon=None):
@@ -357,7 +357,7 @@ def test_toxicity_held_out(spark):
     assert not bad or len(found & bad) >= 0.6 * len(bad)
 
 
-# ---- 9 ----
+# -- 9
 
 
 def brute_signature(elements, size):
