@@ -153,7 +153,8 @@ def assemble(records: DataFrame) -> DataFrame:
     captures = stash(captures.withColumn("capture_id", F.coalesce("response_id", "least")), "warc-captures")
     whole = F.struct(*_KEPT)
     tie = F.struct(F.xxhash64("block"), "date")
-    small = r.where("kind <> 'response'").groupBy("record_id", "kind").agg(F.min_by(whole, tie).alias("rec"))
+    # Requests' and metadata's contents move twice: to their id, which serves the grouping and the join, and to their capture.
+    small = r.where("kind <> 'response'").repartition("record_id").groupBy("record_id", "kind").agg(F.min_by(whole, tie).alias("rec"))
     owner = labelled.where("kind <> 'response'").select("record_id", "g").join(captures.select("g", "capture_id", "request_id"), "g").drop("g")
     parts = small.join(owner, "record_id").groupBy("capture_id").agg(
         F.first(F.when((F.col("kind") == "request") & (F.col("record_id") == F.col("request_id")), F.col("rec")), ignorenulls=True).alias("request"),
@@ -164,7 +165,8 @@ def assemble(records: DataFrame) -> DataFrame:
     heads = r.where("kind = 'response'").select(F.col("record_id").alias("response_id"), whole.alias("response"), tie.alias("tie"))
     # The contents of responses, by far the most bytes, move once: to their id.
     first = heads.groupBy("response_id").agg(F.min_by("response", "tie").alias("response"))
-    joined = light.join(first, "response_id", "left")
+    # A capture with a response has its id, so this join needs no other partitioning than the one by capture.
+    joined = light.join(first.withColumnRenamed("response_id", "capture_id"), "capture_id", "left")
     return joined.select(
         "capture_id", F.coalesce("response.target_uri", "request.target_uri", F.get("metadata", F.lit(0))["target_uri"]).alias("target_uri"), "request", "response", F.coalesce(F.expr(by_id), F.array()).alias("metadata"), "others"
     )
