@@ -46,7 +46,7 @@ def bfs_levels(pairs: DataFrame, seeds: DataFrame, max_hops: int) -> DataFrame:
     """
     seeds = cut(seeds.select("root", "id").distinct())
     frontier, visited, levels = seeds, seeds, [seeds.select("root", "id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"))]
-    hop = pairs.select(F.col("source_id").alias("id"), F.col("target_id").alias("next")).distinct()
+    hop = pairs.select(F.col("source_id").alias("id"), F.col("target_id").alias("next"))
     for depth in range(1, max_hops + 1):
         met = hop.join(broadcast_if_small(frontier, ROW), "id").groupBy("root", F.col("next").alias("id")).agg(F.min("id").alias("parent"))
         new = cut(met.join(visited, ["root", "id"], "left_anti"))
@@ -66,7 +66,7 @@ def shortest_path(pairs: DataFrame, source: str, target: str, max_depth: int) ->
     spark = pairs.sparkSession
     frontier = spark.createDataFrame([(source, [source])], "id string, path array<string>")
     if source != target:
-        hop = pairs.select(F.col("source_id").alias("id"), F.col("target_id").alias("next")).distinct()
+        hop = pairs.select(F.col("source_id").alias("id"), F.col("target_id").alias("next"))
         visited, found = frontier.select("id"), None
         for _ in range(max_depth):
             met = hop.join(broadcast_if_small(frontier, 8 * ROW), "id").groupBy("next").agg(F.min("path").alias("path"))

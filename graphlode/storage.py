@@ -22,7 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named
     if spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="graphlode-"))
     return spark.sparkContext.getCheckpointDir()
