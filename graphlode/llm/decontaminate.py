@@ -2,9 +2,10 @@
 
 build_index() stores the postings of every training token as sorted segments, each made by one task without a shuffle:
 a row holds a term, a segment and the (document, position) lists. Lookups read the terms of the test items only. For
-every window of n tokens of an item, the lists of its two rarest terms are adjusted by their offsets and intersected; what
-remains is probed for all the item's terms. A document with n consecutive tokens of an item is an exact match; one
-that has a large share of all the item's tokens, each near its place, is a proximity match.
+every window of n tokens of an item, the lists of its two rarest terms are adjusted by their offsets and intersected, and
+for edited items those of as many of its rarest terms that two stand in every match; what remains is probed for all the
+item's terms. A document with n consecutive tokens of an item is an exact match; one that has a large share of all the
+item's tokens, each near its place, is a proximity match.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from graphlode.llm import textkernel as tk
 from graphlode.storage import broadcast_if_small, stash
@@ -98,36 +99,57 @@ def item_terms(items: DataFrame) -> DataFrame:
     return narrow.mapInArrow(run, "item long, item_id long, length int, o int, term long")
 
 
-def _rarest_pairs(terms: DataFrame, index: DataFrame, n: int) -> DataFrame:
+def _rarest_pairs(known: DataFrame, n: int) -> DataFrame:
     """(item, t1, o1, t2, o2): the rarest and the second rarest token of every n-gram of each item (of a shorter item as
-    a whole), by occurrences in the index. N-grams with a term that the index lacks are left out."""
-    wanted = broadcast_if_small(terms.select("term").distinct(), 8)
-    often = index.where("term IS NOT NULL").select("term", "n").join(wanted, "term").groupBy("term").agg(F.sum("n").alias("often"))
-    known = terms.join(broadcast_if_small(often, 16), "term", "left")
+    a whole), by occurrences in the index. N-grams with a term that the index lacks are in no document and left out."""
     ahead = Window.partitionBy("item").orderBy("o").rowsBetween(0, n - 1)
     gram = F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "o", "term")).over(ahead))
     grams = known.select("item", "o", F.greatest(F.col("length") - n, F.lit(0)).alias("last"), gram.alias("g")).where("o <= last AND g[0].often > 0")
     return grams.select("item", F.col("g")[0]["term"].alias("t1"), F.col("g")[0]["o"].alias("o1"), F.expr("g[least(1, size(g) - 1)].term").alias("t2"), F.expr("g[least(1, size(g) - 1)].o").alias("o2")).distinct()
 
 
-def _candidates(pairs: DataFrame, index: DataFrame) -> DataFrame:
-    """(item, seg, ord, diag): the item's start in the document as the rarest term's posting has it, where the second
-    rarest's has it within SLACK of that."""
-    anchors = pairs.select("item", F.col("t1").alias("term"), F.col("o1").alias("o")).union(pairs.select("item", "t2", "o2")).distinct()
+def _needed(near: float) -> Column:
+    return F.greatest(F.ceil(F.col("length") * F.lit(near)), F.lit(1)).cast("int")
+
+
+def _scarce(known: DataFrame, near: float) -> DataFrame:
+    """(item, term, o): so many of each item's rarest tokens that two stand in every proximity match (one if one is enough).
+
+    A match may lack length - needed tokens, those that the index lacks among them; of two more than the others, two are met.
+    """
+    whole = Window.partitionBy("item")
+    spare = F.col("length") - _needed(near) - F.count(F.when(F.col("often").isNull(), 1)).over(whole)
+    ranked = known.select("item", "term", "o", "often", spare.alias("spare"), _needed(near).alias("needed")).where("often IS NOT NULL AND spare >= 0")
+    rank = F.row_number().over(whole.orderBy("often", "o"))
+    return ranked.withColumn("rank", rank).where("rank <= spare + least(2, needed)").select("item", "term", "o")
+
+
+def _candidates(pairs: DataFrame, scarce: DataFrame, index: DataFrame, n: int, near: float) -> DataFrame:
+    """(item, seg, ord, lo, hi): where an item's start may be in a document, with all that counts for it.
+
+    A proximity match has two of the scarce tokens within SLACK of one start; it lies around the first of them. Where the
+    rarest two of an n-gram have the very same start, the whole document is wanted.
+    """
+    anchors = stash(pairs.select("item", F.col("t1").alias("term"), F.col("o1").alias("o")).union(pairs.select("item", "t2", "o2")).union(scarce.select("item", "term", "o")).distinct(), "anchors")
     rows = index.select("seg", "term", "ords", "places").join(broadcast_if_small(anchors.select("term").distinct(), 8), "term")
     postings = rows.select("seg", "term", F.explode(F.arrays_zip("ords", "places")).alias("p")).select("seg", "term", "p.ords", "p.places")
     hits = postings.join(broadcast_if_small(anchors, 24), "term").select("item", "seg", F.col("ords").alias("ord"), "o", (F.col("places") - F.col("o")).alias("diag"))
-    per_doc = hits.groupBy("item", "seg", "ord").agg(F.collect_set(F.struct("o", "diag")).alias("hits"))
-    both = per_doc.join(broadcast_if_small(pairs.groupBy("item").agg(F.collect_set(F.struct("o1", "o2")).alias("pairs")), 200), "item")
-    met = f"""filter(hits, a -> exists(pairs, p -> p.o1 = a.o AND exists(hits, b -> b.o = p.o2 AND abs(b.diag - a.diag) <= {SLACK})))"""
-    return both.select("item", "seg", "ord", F.explode(F.array_distinct(F.expr(f"transform({met}, a -> a.diag)"))).alias("diag"))
+    per_doc = hits.groupBy("item", "seg", "ord").agg(F.sort_array(F.collect_set(F.struct("diag", "o"))).alias("hits"))
+    # If two hits of different tokens are close, so are two that follow one another.
+    close = f"filter(transform(hits, (a, i) -> IF(i > 0, IF(hits[i - 1].o <> a.o AND a.diag - hits[i - 1].diag <= {2 * SLACK}, hits[i - 1].diag, NULL), NULL)), d -> d IS NOT NULL)"
+    alone = n == 1 or near <= 0.2  # one token may be enough
+    starts = F.expr("transform(hits, a -> a.diag)" if alone else close)
+    met = per_doc.withColumn("starts", F.array_distinct(starts)).where("size(starts) > 0")
+    both = met.join(broadcast_if_small(pairs.groupBy("item").agg(F.collect_set(F.struct("o1", "o2")).alias("pairs")), 200), "item", "left")
+    whole = F.expr("coalesce(exists(hits, a -> exists(pairs, p -> p.o1 = a.o AND exists(hits, b -> b.o = p.o2 AND b.diag = a.diag))), false)")
+    span = F.when(whole, F.expr("array(struct(-2147483648 AS lo, 2147483647 AS hi))")).otherwise(F.expr(f"transform(starts, d -> struct(d - {2 * SLACK} AS lo, d + {2 * SLACK} AS hi))"))
+    return both.select("item", "seg", "ord", F.explode(span).alias("x")).select("item", "seg", "ord", "x.lo", "x.hi")
 
 
 def _probed(candidates: DataFrame, terms: DataFrame, index: DataFrame) -> DataFrame:
-    """(item, seg, ord, diag, o, hit): for each token of a candidate's item, 2 if it stands in its place, 1 if within
-    SLACK of it; no row if neither."""
+    """(item, seg, ord, o, diag): where the tokens of a candidate's item stand in the document, from lo to hi."""
     probes = candidates.join(broadcast_if_small(terms.select("item", "o", "term"), 24), "item")
-    packed = probes.groupBy("seg", "term").agg(F.collect_list(F.struct("item", "ord", "diag", "o")).alias("probes"))
+    packed = probes.groupBy("seg", "term").agg(F.collect_list(F.struct("item", "ord", "lo", "hi", "o")).alias("probes"))
     packed = stash(packed, "probes")
     size = packed.agg(F.sum(F.size("probes") * 24 + 40)).first()[0] or 0
     rows = index.where("term IS NOT NULL").select("seg", "term", "ords", "places")
@@ -139,44 +161,74 @@ def _probed(candidates: DataFrame, terms: DataFrame, index: DataFrame) -> DataFr
                 seg = b.column(0)[i].as_py()
                 key = (b.column(1)[i].values.to_numpy().astype(np.int64) << 32) | b.column(2)[i].values.to_numpy()
                 p = b.column(3)[i].values
-                item, doc, diag, o = (p.field(x).to_numpy().astype(np.int64) for x in range(4))
-                base, want = doc << 32, diag + o
-                lo = np.searchsorted(key, base | np.maximum(want - SLACK, 0))
-                near = np.zeros(len(o), dtype=bool)
-                ok = (lo < len(key)) & (want + SLACK >= 0)
-                near[ok] = key[lo[ok]] <= (base | (want + SLACK))[ok]
-                at = np.searchsorted(key, base | np.maximum(want, 0))
-                same = np.zeros(len(o), dtype=bool)
-                ok = (at < len(key)) & (want >= 0)
-                same[ok] = key[at[ok]] == (base | want)[ok]
-                keep = near | same
+                item, doc, lo, hi, o = (p.field(x).to_numpy().astype(np.int64) for x in range(5))
+                first = np.searchsorted(key, (doc << 32) + np.maximum(lo + o, 0))
+                n = np.maximum(np.searchsorted(key, (doc << 32) + np.minimum(hi + o, (1 << 31) - 1), side="right") - first, 0)
+                which = np.repeat(np.arange(len(o)), n)
+                at = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + first[which]
+                diag = (key[at] & 0xFFFFFFFF) - o[which]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(item[keep]), pa.array(np.full(int(keep.sum()), seg)), *(pa.array(x[keep].astype(np.int32)) for x in (doc, diag, o)), pa.array(np.where(same, 2, 1)[keep].astype(np.int32))],
-                    names=["item", "seg", "ord", "diag", "o", "hit"],
+                    [pa.array(item[which]), pa.array(np.full(len(which), seg)), *(pa.array(x.astype(np.int32)) for x in (doc[which], o[which], diag))],
+                    names=["item", "seg", "ord", "o", "diag"],
                 )
 
-    return joined.mapInArrow(run, "item long, seg long, ord int, diag int, o int, hit int")
+    return joined.mapInArrow(run, "item long, seg long, ord int, o int, diag int")
+
+
+def _counted(hits: DataFrame) -> DataFrame:
+    """hits: (item, item_id, length, seg, ord, hits array of diag, o in order). In its place: run, doc_pos, item_pos of
+    the longest run, the first of equal ones, and near, the most tokens within SLACK of a start."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(5)
+            g = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            flat = lists.flatten()
+            d, o = (flat.field(x).to_numpy().astype(np.int64) for x in range(2))
+            # Hits are in order of group, diag and o: a run goes on while only o grows, by one.
+            new = np.concatenate([[True], (g[1:] != g[:-1]) | (d[1:] != d[:-1]) | (o[1:] != o[:-1] + 1)])[: len(g)]
+            at = np.flatnonzero(new)
+            length = np.diff(np.append(at, len(g)))
+            order = np.lexsort((o[at], (d + o)[at], -length, g[at]))
+            best = order[np.searchsorted(g[at][order], np.arange(b.num_rows))]
+            # A hit counts for each start that another hit, or itself, has within SLACK of it.
+            start = (g << 33) + d + (1 << 32)
+            starts = np.unique(start)
+            pair = []
+            for s in range(-SLACK, SLACK + 1):
+                i = np.minimum(np.searchsorted(starts, start + s), len(starts) - 1)
+                there = starts[i] == start + s
+                pair.append((i[there] << 32) | o[there])
+            per_start = np.bincount(np.unique(np.concatenate(pair)) >> 32, minlength=len(starts))
+            near = np.zeros(b.num_rows, dtype=np.int64)
+            np.maximum.at(near, starts >> 33, per_start)
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:5], *(pa.array(x.astype(np.int32)) for x in (length[best], (d + o)[at][best], o[at][best], near))],
+                names=["item", "item_id", "length", "seg", "ord", "run", "doc_pos", "item_pos", "near"],
+            )
+
+    return hits.mapInArrow(run, "item long, item_id long, length int, seg long, ord int, run int, doc_pos int, item_pos int, near int")
 
 
 def _judged(docs: DataFrame, items: DataFrame, n: int, near: float) -> tuple[DataFrame, DataFrame]:
     """(matches by item, seg and ord; the documents' keys by seg and ord)."""
     index = build_index(docs)
     terms = stash(item_terms(items), "item-terms")
-    pairs = stash(_rarest_pairs(terms, index, n), "rarest-pairs")
-    hits = _probed(_candidates(pairs, index), terms, index)
-    place = ["item", "seg", "ord", "diag"]
-    counted = hits.groupBy(*place).agg(F.count("*").alias("near"), F.sort_array(F.collect_list(F.when(F.col("hit") == 2, F.col("o")))).alias("os"))
-    # Offsets that follow one another have the same difference from their rank: a run is a group of that difference.
-    runs = counted.select(*place, "near", F.posexplode_outer("os").alias("rank", "o")).groupBy(*place, "near", (F.col("o") - F.col("rank")).alias("r")).agg(F.count("o").alias("run"), F.min("o").alias("o"))
+    wanted = broadcast_if_small(terms.select("term").distinct(), 8)
+    often = index.where("term IS NOT NULL").select("term", "n").join(wanted, "term").groupBy("term").agg(F.sum("n").alias("often"))
+    known = stash(terms.join(often, "term", "left"), "item-terms-often")
+    pairs = stash(_rarest_pairs(known, n), "rarest-pairs")
+    hits = _probed(_candidates(pairs, _scarce(known, near), index, n, near), terms, index)
     lengths = terms.select("item", "item_id", "length").distinct()
-    long_enough = F.col("run") >= F.least(F.lit(n), F.col("length"))
-    best = F.max(F.when(long_enough, F.struct("run", (-(F.col("diag") + F.col("o"))).alias("doc_at"), (-F.col("o")).alias("item_at"))))
-    per_doc = runs.join(broadcast_if_small(lengths, 20), "item").groupBy("item", "item_id", "length", "seg", "ord").agg(best.alias("x"), F.max("near").alias("near"))
-    needed = F.ceil(F.col("length") * F.lit(near))
-    kind = F.when(F.col("x").isNotNull(), "exact").when(F.col("near") >= needed, "proximity")
-    found = per_doc.select(
-        "item", "item_id", "seg", "ord", kind.alias("kind"), F.coalesce("x.run", F.lit(0)).cast("int").alias("run"), (-F.col("x.doc_at")).cast("int").alias("doc_pos"), (-F.col("x.item_at")).cast("int").alias("item_pos"), F.col("near").cast("int").alias("near")
-    ).where("kind IS NOT NULL")
+    per_doc = hits.groupBy("item", "seg", "ord").agg(F.sort_array(F.collect_set(F.struct("diag", "o"))).alias("hits"))
+    least = F.least(F.lit(n), F.col("length"))
+    enough = per_doc.join(broadcast_if_small(lengths, 20), "item").where(F.size(F.array_distinct("hits.o")) >= F.least(least, _needed(near)))
+    counted = _counted(enough.select("item", "item_id", "length", "seg", "ord", "hits"))
+    exact = F.col("run") >= least
+    kind = F.when(exact, "exact").when(F.col("near") >= _needed(near), "proximity")
+    found = counted.select("item", "item_id", "seg", "ord", kind.alias("kind"), F.when(exact, F.col("run")).otherwise(0).alias("run"), F.when(exact, F.col("doc_pos")).alias("doc_pos"), F.when(exact, F.col("item_pos")).alias("item_pos"), "near").where("kind IS NOT NULL")
+    # Else Spark would go through the index once more for every count of these few rows.
+    found = stash(found, "matches")
     keys = index.where("term IS NULL").select("seg", F.posexplode(F.arrays_zip("doc_ids", "c1", "c2")).alias("ord", "k")).select("seg", "ord", F.col("k.doc_ids").alias("doc_id"), "k.c1", "k.c2")
     return found, keys
 
@@ -185,8 +237,10 @@ def matches(docs: DataFrame, items: DataFrame, n: int = N, near: float = NEAR) -
     """One row (item_id, doc_id, kind, run, doc_pos, item_pos, near) for each item that a document holds.
 
     kind is exact if the document has n consecutive tokens of the item (all of an item of fewer), else proximity if at
-    least the share `near` of the item's tokens stand within SLACK of their places next to two of its rarest. run, doc_pos
-    and item_pos tell the longest run of the former, the first in the document of equal ones; near counts the latter.
+    least the share `near` of the item's tokens stand within SLACK of their places from a start that one of them has. run,
+    doc_pos and item_pos tell the longest run of the former, the first in the document of equal ones; near counts the
+    latter, the most from any start. SQL looks for starts next to the rarest two of a window only: it has no other rows
+    than these, but misses items edited in these two.
     Tokens, positions from 0, are runs of letters and digits in lower case. Null and empty texts and items of fewer
     than LEAST_TOKENS match nothing. Repeated documents and items give repeated findings once. Null ids stay null.
     """

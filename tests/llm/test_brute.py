@@ -135,6 +135,39 @@ def test_decontamination(spark):
     assert {(0, 0), (1, 1), (0, 2), (5, 3), (3, 4), (1, 6)} <= {(a, b) for a, b, _, _ in got} and not any(b == 5 and a == 4 for a, b, _, _ in got)
 
 
+def brute_near(doc, item):
+    """The most tokens of the item within SLACK of their places, from any start."""
+    where = defaultdict(list)
+    for p, t in enumerate(tokens(doc)):
+        where[t].append(p)
+    it = tokens(item)
+    starts = {p - o for o, t in enumerate(it) for p in where[t]}
+    return max((sum(any(abs(p - o - g) <= decontaminate.SLACK for p in where[t]) for o, t in enumerate(it)) for g in starts), default=0)
+
+
+def test_edited_items_are_found(spark):
+    """Items whose rarest words are replaced, as many as NEAR permits and one more; the documents have every word somewhere."""
+    r = random.Random(31)
+    common, rare = [f"c{i}" for i in range(40)], [f"rare{i}" for i in range(400)]
+    items, docs = [], []
+    for length in (5, 6, 7, 10, 13, 14, 20, 30, 57):
+        for more in (0, 1):
+            lost = length - int(np.ceil(length * decontaminate.NEAR)) + more
+            at = set(r.sample(range(length), lost))
+            item = [rare.pop() if i in at else r.choice(common) for i in range(length)]
+            item[min(set(range(length)) - at)] = rare.pop()
+            items.append(" ".join(item))
+            edited = [("absent" if i % 2 else "") + r.choice(common) if i in at else w for i, w in enumerate(item)]
+            docs.append(" ".join([*r.choices(common, k=r.randint(0, 60)), *edited, *r.choices(common, k=30)]))
+            docs += [w for i, w in enumerate(item) if i in at and i % 3]
+    docs += [" ".join(r.choices(common, k=200)) for _ in range(5)]
+    it = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x.item_id, x.doc_id): x.near for x in decontaminate.matches(frame(spark, docs), it).collect() if x.kind == "proximity"}
+    want = {(i, d): k for i, item in enumerate(items) for d, doc in enumerate(docs) if (k := brute_near(doc, item)) >= np.ceil(len(tokens(item)) * decontaminate.NEAR)}
+    exact = {(i, d) for i, d, kind, _ in brute_matches(docs, items, decontaminate.N, decontaminate.NEAR) if kind == "exact"}
+    assert got == {k: v for k, v in want.items() if k not in exact} and len(got) >= 9
+
+
 # -- 3
 
 
