@@ -145,18 +145,16 @@ def test_coverage(nodes: DataFrame, edges: DataFrame, max_hops: int = 3) -> Data
     return out.join(rings, "id", "left_anti").unionByName(again)
 
 
-def ancestors(inherits: DataFrame, max_depth: int = 64) -> DataFrame:
+def ancestors(inherits: DataFrame) -> DataFrame:
     """(id, ancestor, depth): every class's ancestors, with the least number of steps; safe on cycles.
 
-    By doubling: each round joins the closure with itself, so depth 2**k takes k rounds.
+    By doubling, until nothing new is met: each round joins the closure with itself, so depth 2**k takes k rounds.
     """
     closure = cut(inherits.select(F.col("source_id").alias("id"), F.col("target_id").alias("ancestor"), F.lit(1).alias("depth")).distinct())
-    reach = 1
-    while reach < max_depth:
+    while True:
         right = closure.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("far"), F.col("depth").alias("more"))
         longer = closure.join(right, "ancestor").select("id", F.col("far").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
-        grown = cut(closure.unionByName(longer).where(F.col("depth") <= max_depth).groupBy("id", "ancestor").agg(F.min("depth").alias("depth")))
-        reach *= 2
+        grown = cut(closure.unionByName(longer).groupBy("id", "ancestor").agg(F.min("depth").alias("depth")))
         if grown.count() == closure.count():
             break
         closure = grown

@@ -104,6 +104,15 @@ def test_ancestors_and_dispatch(spark):
     assert {(r.source_id, r.target_id, r.via) for r in graph.dispatches(methods, closure).collect()} == {("c1.f", "c3.f", "c1"), ("c0.f", "c1.f", "c0")}
 
 
+def test_ancestors_far_away(spark):
+    pairs = [(f"c{i:03}", f"c{i + 1:03}") for i in range(150)] + [("r0", "r1"), ("r1", "r2"), ("r2", "r0")]
+    closure = graph.ancestors(make(spark, pairs, "inherits"))
+    far = {(f"c{i:03}", f"c{j:03}", j - i) for j in range(151) for i in range(j)}
+    assert {(r.id, r.ancestor, r.depth) for r in closure.collect()} == far | {(f"r{i}", f"r{(i + k) % 3}", k) for i in range(3) for k in (1, 2)}
+    methods = spark.createDataFrame([("c000.f", "f", "c000"), ("c100.f", "f", "c100")], "id string, name string, parent_id string")
+    assert [(r.source_id, r.target_id, r.via) for r in graph.dispatches(methods, closure).collect()] == [("c100.f", "c000.f", "c100")]
+
+
 def test_linear_chains(spark):
     nodes = spark.createDataFrame([(x, "function") for x in "abcdefghpqrxyz"] + [("file", "file")], "id string, kind string")
     pairs = [("a", "b"), ("b", "c"), ("c", "d"), ("e", "b"), ("f", "g"), ("g", "h"), ("h", "f"), ("p", "q"), ("x", "y"), ("x", "z"), ("y", "z"), ("d", "file")]
