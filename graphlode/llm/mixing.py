@@ -3,7 +3,8 @@
 The golden-ratio sequence, in integers modulo 2**32, is mapped through the sources' cumulative weights: slot t belongs
 to the source whose interval has point t, so any stretch of slots follows the weights closely. Each source's documents
 are shuffled by a hash and cut into blocks of equal numbers of tokens; its k-th slot takes its k-th block, and starts
-over (another epoch) when it has none left. The schedule ends when every block has had a slot.
+over (another epoch) when it has none left. The schedule ends when every block has had a slot. A source whose share is
+too small for a single point has its blocks once each in slots after those.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ def _sources(rows: DataFrame, weights: dict[str, float] | None, block_tokens: in
 def schedule(sources: DataFrame) -> DataFrame:
     """(slot, source, block, epoch) up to the slot by which every block has come."""
     spark = sources.sparkSession
-    need = sources.agg(F.max((F.col("blocks") + 8) * 4294967296.0 / F.greatest(F.col("hi") - F.col("lo"), F.lit(1)))).first()[0]
+    need = sources.where("hi > lo").agg(F.max((F.col("blocks") + 8) * 4294967296.0 / F.greatest(F.col("hi") - F.col("lo"), F.lit(1)))).first()[0]
     n = int(need or 0) + 64 if need else 0
     point = F.pmod(F.col("id") * GOLDEN + (1 << 31), F.lit(1 << 32))
     slots = spark.range(n).select(F.col("id").alias("slot"), point.alias("u"), F.shiftright(point, _CELL).alias("cell"))
@@ -62,7 +63,11 @@ def schedule(sources: DataFrame) -> DataFrame:
     owned = slots.join(broadcast_if_small(cells, 48), "cell").where("u >= lo AND u < hi").select("slot", "source", "blocks", F.shiftright("slot", 16).alias("part"), F.lit(1).alias("one"))
     ranked = running(owned, ["source"], "part", ["slot"], "one", "k")
     last = ranked.where("k = blocks - 1").agg(F.max("slot")).first()[0]
-    return ranked.where(F.col("slot") <= (last if last is not None else -1)).select("slot", "source", (F.col("k") % F.col("blocks")).alias("block"), F.floor(F.col("k") / F.col("blocks")).cast("long").alias("epoch"))
+    end = last if last is not None else -1
+    drawn = ranked.where(F.col("slot") <= end).select("slot", "source", (F.col("k") % F.col("blocks")).alias("block"), F.floor(F.col("k") / F.col("blocks")).cast("long").alias("epoch"))
+    pointless = sources.where("hi <= lo").withColumn("all", F.lit(1)).selectExpr("source", "blocks", "sum(blocks) OVER (PARTITION BY all ORDER BY source NULLS FIRST ROWS UNBOUNDED PRECEDING) - blocks AS before")
+    after = pointless.select("source", "before", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")).select((F.col("before") + F.col("block") + (end + 1)).alias("slot"), "source", "block", F.lit(0).cast("long").alias("epoch"))
+    return drawn.unionByName(after)
 
 
 def _mixed(docs: DataFrame, weights: dict[str, float] | None, block_tokens: int, whole: bool) -> DataFrame:

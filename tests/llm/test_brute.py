@@ -349,6 +349,16 @@ def test_mixture(spark):
         assert all(abs(share[s] - n * w / 8) <= 3 for s, w in weights.items())
 
 
+def test_source_without_a_point_has_its_slots(spark):
+    rows = spark.createDataFrame([("a", 5 * 10**9), ("b", 5 * 10**9), ("", 0), (None, 0)], "source string, tokens long")
+    sources = mixing._sources(rows, None, 10**9)
+    assert {r.source for r in sources.where("hi <= lo").collect()} == {"", None}
+    slots = sorted((r.slot, r.source, r.block, r.epoch) for r in mixing.schedule(sources).collect())
+    assert [s for s, *_ in slots] == list(range(len(slots))) and len(slots) < 100
+    assert {(s, b) for _, s, b, _ in slots} == {(s, b) for s in "ab" for b in range(5)} | {("", 0), (None, 0)}
+    assert [x[1:] for x in slots[-2:]] == [(None, 0, 0), ("", 0, 0)]
+
+
 # -- 8
 
 
