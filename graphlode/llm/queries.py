@@ -19,6 +19,7 @@ QUERIES = {
 ORACLES = {
     "op10_warc_transactions": warc.SQL,
     "op6_substrings": substrings.SQL,
+    "op5_sharding": sharding.SQL,
     "op7_mixing": mixing.SQL,
     "op2_decontamination": decontaminate.SQL,
     "op1_winnowing": fingerprints.SQL,

@@ -2,16 +2,17 @@
 
 Indivisible groups, sorted by size, each enter the bin with the tightest remaining capacity that takes them; a new bin
 opens where none does. Bins of equal remaining capacity and groups of equal size are interchangeable, so the packing
-works on the histogram of sizes: one step places all groups of a size that a class of bins takes. The tree of remaining
-capacities and the plan grow with the number of distinct sizes, not of groups; Spark then ranks each size's groups and
+works on the histogram of sizes: one step places all groups of a size that a class of bins takes, lowest bin first. The
+tree of remaining capacities and the plan grow with the number of distinct sizes, not of groups; Spark then ranks each size's groups and
 joins them with the plan.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from graphlode.llm.prefix import running
 from graphlode.storage import broadcast_if_small, stash
@@ -117,7 +118,7 @@ def pack(histogram: Iterable[tuple[int, int]], capacity: int) -> tuple[list[tupl
 
     def put(remaining: int, first: int, n: int) -> None:
         if n:
-            tree.get_or_add(remaining).append((first, n))
+            heapq.heappush(tree.get_or_add(remaining), (first, n))
 
     for size, left in sorted(histogram, reverse=True):
         rank = 0
@@ -129,7 +130,7 @@ def pack(histogram: Iterable[tuple[int, int]], capacity: int) -> tuple[list[tupl
             tightest = tree.ceiling(size)
             if tightest:
                 room, spans = tightest
-                first, n = spans.pop()
+                first, n = heapq.heappop(spans)
                 if not spans:
                     tree.remove(room)
             else:
@@ -151,22 +152,29 @@ def pack(histogram: Iterable[tuple[int, int]], capacity: int) -> tuple[list[tupl
 
 
 def _assigned(rows: DataFrame, capacity: int) -> DataFrame:
-    """(g1, g2, group_bytes, shard) of rows (g1, g2, bytes)."""
-    groups = stash(rows.groupBy("g1", "g2").agg(F.sum("bytes").alias("size")).withColumns({"one": F.lit(1), "part": F.shiftright("g1", 56)}), "shard-groups")
+    """(g, group_bytes, shard) of rows (g, bytes)."""
+    groups = rows.groupBy("g").agg(F.sum("bytes").alias("size")).withColumns({"one": F.lit(1), "part": F.substring(F.hex("g"), 1, 2)})
+    groups = stash(groups, "shard-groups")
     # Distinct sizes only: at most as many as a group can have bytes, in practice far fewer than groups.
     histogram = [(r["size"], r["n"]) for r in groups.groupBy("size").agg(F.count("*").alias("n")).toLocalIterator()]
     runs, _ = pack(histogram, capacity)
     spark = rows.sparkSession
     plan = spark.createDataFrame(runs, "s long, first long, end long, bin long, each long")
-    ranked = running(groups, ["size"], "part", ["g1", "g2"], "one", "rank")
+    ranked = running(groups, ["size"], "part", ["g"], "one", "rank")
     on = (F.col("size") == F.col("s")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end"))
     hinted = F.broadcast(plan) if len(runs) * 40 < 32 << 20 else plan
-    return ranked.join(hinted, on).select("g1", "g2", F.col("size").alias("group_bytes"), (F.col("bin") + F.floor((F.col("rank") - F.col("first")) / F.col("each"))).cast("long").alias("shard"))
+    shard = F.col("bin") + F.floor((F.col("rank") - F.col("first")) / F.col("each"))
+    return ranked.join(hinted, on).select("g", F.col("size").alias("group_bytes"), shard.cast("long").alias("shard"))
 
 
-def _rows(docs: DataFrame) -> DataFrame:
+def _rows(docs: DataFrame, group: Column | None = None) -> DataFrame:
+    """doc_id, g (what names the row's group: 16 bytes of its text, or of the column `group`) and bytes of each row."""
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("g1"), F.hash(text).alias("g2"), F.octet_length(text).cast("long").alias("bytes"))
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), _name(text if group is None else group).alias("g"), F.octet_length(text).cast("long").alias("bytes"))
+
+
+def _name(key: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(key.cast("string"), F.lit(""))))
 
 
 def shards(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -174,20 +182,40 @@ def shards(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     A group is all rows of one text, so that copies never part; its size is its UTF-8 bytes. Null and empty texts are
     one group of size 0. Shards count from 0; the rows of a shard have `capacity` bytes at most, but for a group that has
-    more, which is alone in its shard. Equal sizes are taken by the text's hash. A null doc_id stays null; an empty table
-    gives no row. Columns other than doc_id and text are not read.
+    more, which is alone in its shard. Equal sizes are taken by the text's md5, the lowest of equally tight shards is
+    filled first. Repeated rows come each. A null doc_id stays null; an empty table gives no row. Columns other than
+    doc_id and text are not read.
     """
     rows = stash(_rows(docs), "shard-rows")
-    return rows.join(_assigned(rows, capacity), ["g1", "g2"]).select("doc_id", "shard", "bytes", "group_bytes")
+    return rows.join(_assigned(rows, capacity), "g").select("doc_id", "shard", "bytes", "group_bytes")
 
 
-def with_shard(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """docs, all columns, with the shard of each row as shard_id; a column of that name is replaced."""
-    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    assigned = _assigned(stash(_rows(docs), "shard-rows"), capacity).select(F.col("g1").alias("__g1"), F.col("g2").alias("__g2"), F.col("shard").alias("__shard"))
-    joined = docs.join(broadcast_if_small(assigned, 24), (F.xxhash64(text) == F.col("__g1")) & (F.hash(text) == F.col("__g2")))
-    return joined.select(*(c for c in docs.columns if c != "shard_id"), F.col("__shard").alias("shard_id"))
+def with_shard(docs: DataFrame, capacity: int = CAPACITY, group: Column | None = None) -> DataFrame:
+    """docs, all columns, with the shard of each row as shard_id; a column of that name is replaced.
+
+    Rows of the same text are a group, or those of the same value of `group`, of which null and "" are one. Otherwise as
+    in shards().
+    """
+    key = docs["text"] if group is None else group
+    assigned = _assigned(stash(_rows(docs, group).select("g", "bytes"), "shard-rows"), capacity).select(F.col("g").alias("__g"), F.col("shard").alias("__shard"))
+    joined = docs.join(broadcast_if_small(assigned, 32), _name(key) == F.col("__g"))
+    return joined.select(*(docs[c] for c in docs.columns if c != "shard_id"), F.col("__shard").alias("shard_id"))
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+SQL = f"""
+WITH RECURSIVE t AS (SELECT doc_id, md5(coalesce(text, '')) AS g, octet_length(encode(coalesce(text, '')))::BIGINT AS bytes FROM documents
+), groups AS (
+  SELECT g, sum(bytes)::BIGINT AS size, row_number() OVER (ORDER BY sum(bytes) DESC, g) AS i FROM t GROUP BY g
+), bfd(i, g, bin, rooms) AS (  -- one group a step; the room of a shard of its own is -1, as nothing may follow
+  SELECT 0::BIGINT, NULL::VARCHAR, NULL::BIGINT, []::BIGINT[]
+  UNION ALL
+  SELECT s.i, s.g, CASE WHEN s.room IS NULL THEN len(s.rooms) ELSE list_position(s.rooms, s.room) - 1 END::BIGINT,
+         CASE WHEN s.room IS NULL THEN list_append(s.rooms, greatest({CAPACITY} - s.size, -1))
+              ELSE list_concat(list_append(s.rooms[:list_position(s.rooms, s.room) - 1], s.room - s.size), s.rooms[list_position(s.rooms, s.room) + 1:]) END
+  FROM (SELECT n.i, n.g, n.size, b.rooms, list_min(list_filter(b.rooms, lambda x: x >= n.size)) AS room FROM bfd b JOIN groups n ON n.i = b.i + 1) s
+)
+SELECT t.doc_id, b.bin AS shard, t.bytes, n.size AS group_bytes FROM t JOIN groups n USING (g) JOIN bfd b USING (g)"""

@@ -1,7 +1,9 @@
 """Operators against slow versions written apart from them, over small fixtures."""
 
-import re
+import hashlib
+import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -316,47 +318,94 @@ def test_substrings(spark):
 # -- 7
 
 
-def test_mixture(spark):
-    import hashlib
-
-    _, _, rows = texts(10, 90, 60)
-    weights = {"s0": 1.0, "s1": 2.0, "s2": 5.0}
-    got = mixing.mixture(frame(spark, rows), weights, 64).collect()
+def brute_mixture(rows, weights, block_tokens, max_epochs):
+    """rows: (doc_id, source, text), no source null. (slot, source, block, epoch, doc_id, start), and the slots that points gave."""
     per = defaultdict(list)
-    for i, t in enumerate(rows):
-        per[f"s{i % 3}"].append((hashlib.md5(f"mix-1:{i}".encode()).hexdigest(), i, len(tokens(t))))
-    blocks, place = {}, {}
-    for s, docs in per.items():
-        docs.sort()
-        total = sum(x[2] for x in docs)
-        blocks[s] = max(1, -(-total // 64))
+    for i, s, t in rows:
+        per[s].append((hashlib.md5(f"mix-1:{i}".encode()).hexdigest(), i, len(tokens(t))))
+    n = {s: sum(x[2] for x in docs) for s, docs in per.items()}
+    weights = weights or {s: math.floor(math.sqrt(k * math.sqrt(k)) * 1024) + 1 for s, k in n.items()}
+    least = min(weights.values())
+    order = sorted((s for s in per if s in weights), key=lambda s: hashlib.md5(f"s:{s}".encode()).hexdigest())
+    w = {s: round(weights[s] / least * 4096) if isinstance(weights[s], float) else weights[s] for s in order}
+    edges, at = {}, 0
+    for s in order:
+        edges[s] = (at * 2**32 // sum(w.values()), (at + w[s]) * 2**32 // sum(w.values()))
+        at += w[s]
+    blocks = {s: max(1, -(-n[s] // block_tokens)) for s in order}
+    where = {}
+    for s in order:
         start = 0
-        for _, i, n in docs:
-            place[i] = (s, min(start // 64, blocks[s] - 1), start)
-            start += n
-    edges = [("s0", 0, 1 << 29), ("s1", 1 << 29, 3 << 29), ("s2", 3 << 29, 1 << 32)]
+        for _, i, k in sorted(per[s]):
+            where[i] = (s, min(start // block_tokens, blocks[s] - 1), start)
+            start += k
+    full = {s: n[s] // block_tokens for s in order if n[s] >= block_tokens and edges[s][0] < edges[s][1]}
     k, plan, slot = Counter(), [], 0
-    while any(k[s] < blocks[s] for s in blocks):
+    while any(k[s] < f for s, f in full.items()):
         u = (slot * 2654435769 + (1 << 31)) % (1 << 32)
-        s = next(s for s, lo, hi in edges if lo <= u < hi)
-        plan.append((slot, s, k[s] % blocks[s], k[s] // blocks[s]))
+        s = next(s for s, (lo, hi) in edges.items() if lo <= u < hi)
+        if k[s] < max_epochs * blocks[s]:
+            plan.append((slot, s, k[s] % blocks[s], k[s] // blocks[s]))
         k[s] += 1
         slot += 1
-    want = {(t, s, bl, ep, i, place[i][2]) for t, s, bl, ep in plan for i in place if place[i][:2] == (s, bl)}
-    assert {(x.slot, x.source, x.block, x.epoch, x.doc_id, x.start) for x in got} == want
-    for n in (50, len(plan)):
-        share = Counter(s for _, s, _, _ in plan[:n])
-        assert all(abs(share[s] - n * w / 8) <= 3 for s, w in weights.items())
+    had = {(s, b) for _, s, b, _ in plan}
+    late = [(s, b) for s in order for b in range(blocks[s]) if (s, b) not in had]
+    whole = plan + [(slot + i, s, b, 0) for i, (s, b) in enumerate(late)]
+    return {(t, s, b, e, i, where[i][2]) for t, s, b, e in whole for i in where if where[i][:2] == (s, b)}, plan
+
+
+@pytest.mark.parametrize("weights", [{"s0": 1.0, "s1": 2.0, "s2": 5.0}, {"s0": 1.0, "s1": 300.0, "s2": 1.0}, None])
+def test_mixture(spark, weights):
+    _, _, rows = texts(10, 90, 60)
+    got = mixing.mixture(frame(spark, rows), weights, 64).collect()
+    want, plan = brute_mixture([(i, f"s{i % 3}", t) for i, t in enumerate(rows)], weights, 64, mixing.MAX_EPOCHS)
+    assert {(x.slot, x.source, x.block, x.epoch, x.doc_id, x.start) for x in got} == want and len(got) == len(want)
+    assert max(Counter(x.doc_id for x in got).values()) <= mixing.MAX_EPOCHS
+    if weights and weights["s1"] == 2.0:
+        for n in (50, len(plan)):
+            share = Counter(s for t, s, _, _ in plan if t < n)
+            assert all(abs(share[s] - n * w / 8) <= 3 for s, w in weights.items())
+
+
+def test_points_of_an_interval():
+    r = random.Random(32)
+    for _ in range(60):
+        width = r.choice([r.randrange(1 << 20, 1 << 32), r.randrange(1 << 24, 1 << 32)])
+        lo = r.randrange((1 << 32) - width + 1)
+        n = min(3000, 20 * (1 << 32) // width)
+        true = [t for t in range(n) if lo <= (t * 2654435769 + (1 << 31)) % (1 << 32) < lo + width]
+        assert mixing.visits(lo, lo + width, n) == len(true)
+        for k in range(0, len(true), 50):
+            assert mixing.slots_of(lo, lo + width, k, len(true) - k) == true[k:]
+    for width in (1, 2, 3, 7, 100):
+        got = mixing.slots_of(5, 5 + width, 0, 20)
+        assert got == [mixing.visit(5, 5 + width, k) for k in range(20)] == sorted(set(got))
+
+
+def test_small_sources_neither_repeat_the_rest_nor_vanish(spark):
+    words = " ".join(f"w{i}" for i in range(1000))
+    docs = [(i, words, "a") for i in range(100)] + [(100, "word", "b"), (101, None, "c"), (102, "", None), (103, "x", "d")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    for weights in (None, {"a": 1.0, "b": 1e-11, "d": 1.0}):
+        got = Counter(x.doc_id for x in mixing.mix(df, weights).collect())
+        assert set(got) == set(range(104) if weights is None else [*range(101), 103])
+        assert got[100] == 1 and max(got.values()) <= mixing.MAX_EPOCHS and sum(got.values()) <= 120
 
 
 def test_source_without_a_point_has_its_slots(spark):
-    rows = spark.createDataFrame([("a", 5 * 10**9), ("b", 5 * 10**9), ("", 0), (None, 0)], "source string, tokens long")
+    rows = spark.createDataFrame([("a", 5 * 10**9, 1), ("b", 5 * 10**9, 1), ("", 0, 1), (None, 0, 1)], "source string, tokens long, copies long")
     sources = mixing._sources(rows, None, 10**9)
     assert {r.source for r in sources.where("hi <= lo").collect()} == {"", None}
     slots = sorted((r.slot, r.source, r.block, r.epoch) for r in mixing.schedule(sources).collect())
     assert [s for s, *_ in slots] == list(range(len(slots))) and len(slots) < 100
     assert {(s, b) for _, s, b, _ in slots} == {(s, b) for s in "ab" for b in range(5)} | {("", 0), (None, 0)}
-    assert [x[1:] for x in slots[-2:]] == [(None, 0, 0), ("", 0, 0)]
+
+
+def test_slots_come_back_after_mixing(spark):
+    _, _, rows = texts(15, 60, 60)
+    df = frame(spark, rows)
+    want = Counter((x.doc_id, x.slot) for x in mixing.mixture(df, None, 64).collect())
+    assert Counter((x.doc_id, x.slot) for x in mixing.with_slot(mixing.mix(df, None, 64), None, 64).collect()) == want
 
 
 # -- 8
