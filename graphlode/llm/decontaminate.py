@@ -18,14 +18,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from graphlode.llm import textkernel as tk
-from graphlode.storage import broadcast_if_small, stash
+from graphlode.storage import BROADCAST_BYTES, broadcast_if_small, stash
 
 N = 13
-#: Items of fewer tokens are no evidence of a leak and match nothing.
-LEAST_TOKENS = 5
 SLACK = 4
 NEAR = 0.8
-SEGMENT_TOKENS = 2_000_000
+#: Of one segment of the index; what a task holds in memory follows from it.
+SEGMENT_TOKENS = 500_000
 
 _INDEX = "seg long, term long, n int, ords array<int>, places array<int>, doc_ids array<long>, c1 array<long>, c2 array<int>"
 
@@ -46,6 +45,7 @@ def build_index(docs: DataFrame) -> DataFrame:
         none = pa.nulls(1, pa.list_(pa.int32()))
         yield pa.RecordBatch.from_arrays([pa.array([seg]), pa.nulls(1, pa.int64()), pa.array([0], pa.int32()), none, none, *one], names=names)
         h, ords, places = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        parts.clear()
         order = np.argsort(h, kind="stable")
         h = h[order]
         begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
@@ -80,8 +80,8 @@ def build_index(docs: DataFrame) -> DataFrame:
     return stash(narrow.mapInArrow(run, _INDEX), "token-index")
 
 
-def item_terms(items: DataFrame) -> DataFrame:
-    """(item, item_id, length, o, term): each token of each item of at least LEAST_TOKENS; equal rows are one item."""
+def item_terms(items: DataFrame, least: int = 1) -> DataFrame:
+    """(item, item_id, length, o, term): each token of each item of at least `least` tokens; equal rows are one item."""
     text = items["text"].cast("string")
     narrow = items.select(items["item_id"].cast("long").alias("item_id"), text.alias("text")).where("text IS NOT NULL").distinct()
     narrow = narrow.select(F.xxhash64("item_id", "text").alias("item"), "item_id", "text")
@@ -91,7 +91,7 @@ def item_terms(items: DataFrame) -> DataFrame:
             for c in tk.chunks(b.column(2)):
                 t = tk.tokenize(c)
                 n = np.diff(t.at)
-                keep = np.repeat(n >= LEAST_TOKENS, n)
+                keep = np.repeat(n >= least, n)
                 take = pa.array(np.repeat(np.arange(len(n)), n)[keep] + c.first)
                 o = (np.arange(len(t.hash)) - np.repeat(t.at[:-1], n))[keep]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(np.repeat(n, n)[keep].astype(np.int32)), pa.array(o.astype(np.int32)), pa.array(tk.signed(t.hash[keep]))], names=["item", "item_id", "length", "o", "term"])
@@ -124,23 +124,26 @@ def _scarce(known: DataFrame, near: float) -> DataFrame:
     return ranked.withColumn("rank", rank).where("rank <= spare + least(2, needed)").select("item", "term", "o")
 
 
-def _candidates(pairs: DataFrame, scarce: DataFrame, index: DataFrame, n: int, near: float) -> DataFrame:
+def _candidates(pairs: DataFrame, scarce: DataFrame, items: DataFrame, index: DataFrame, n: int, near: float) -> DataFrame:
     """(item, seg, ord, lo, hi): where an item's start may be in a document, with all that counts for it.
 
     A proximity match has two of the scarce tokens within SLACK of one start; it lies around the first of them. Where the
-    rarest two of an n-gram have the very same start, the whole document is wanted.
+    rarest two of an n-gram have the very same start, the whole document is wanted. `one`: a single token may be enough.
     """
-    anchors = stash(pairs.select("item", F.col("t1").alias("term"), F.col("o1").alias("o")).union(pairs.select("item", "t2", "o2")).union(scarce.select("item", "term", "o")).distinct(), "anchors")
+    anchors = pairs.select("item", F.col("t1").alias("term"), F.col("o1").alias("o")).union(pairs.select("item", "t2", "o2")).union(scarce.select("item", "term", "o")).distinct()
+    single = items.select("item", ((_needed(near) <= 1) | F.lit(n == 1)).alias("one"))
+    anchors = stash(anchors.join(broadcast_if_small(single, 17), "item"), "anchors")
     rows = index.select("seg", "term", "ords", "places").join(broadcast_if_small(anchors.select("term").distinct(), 8), "term")
     postings = rows.select("seg", "term", F.explode(F.arrays_zip("ords", "places")).alias("p")).select("seg", "term", "p.ords", "p.places")
-    hits = postings.join(broadcast_if_small(anchors, 24), "term").select("item", "seg", F.col("ords").alias("ord"), "o", (F.col("places") - F.col("o")).alias("diag"))
-    per_doc = hits.groupBy("item", "seg", "ord").agg(F.sort_array(F.collect_set(F.struct("diag", "o"))).alias("hits"))
+    hits = postings.join(broadcast_if_small(anchors, 24), "term").select("item", "one", "seg", F.col("ords").alias("ord"), "o", (F.col("places") - F.col("o")).alias("diag"))
+    per_doc = hits.groupBy("item", "one", "seg", "ord").agg(F.sort_array(F.collect_set(F.struct("diag", "o"))).alias("hits"))
     # If two hits of different tokens are close, so are two that follow one another.
     close = f"filter(transform(hits, (a, i) -> IF(i > 0, IF(hits[i - 1].o <> a.o AND a.diag - hits[i - 1].diag <= {2 * SLACK}, hits[i - 1].diag, NULL), NULL)), d -> d IS NOT NULL)"
-    alone = n == 1 or near <= 0.2  # one token may be enough
-    starts = F.expr("transform(hits, a -> a.diag)" if alone else close)
+    starts = F.when(F.col("one"), F.expr("transform(hits, a -> a.diag)")).otherwise(F.expr(close))
     met = per_doc.withColumn("starts", F.array_distinct(starts)).where("size(starts) > 0")
-    both = met.join(broadcast_if_small(pairs.groupBy("item").agg(F.collect_set(F.struct("o1", "o2")).alias("pairs")), 200), "item", "left")
+    lists = pairs.groupBy("item").agg(F.collect_set(F.struct("o1", "o2")).alias("pairs"))  # as many as the item has n-grams
+    most = BROADCAST_BYTES // 64
+    both = met.join(F.broadcast(lists) if pairs.limit(most + 1).count() <= most else lists, "item", "left")
     whole = F.expr("coalesce(exists(hits, a -> exists(pairs, p -> p.o1 = a.o AND exists(hits, b -> b.o = p.o2 AND b.diag = a.diag))), false)")
     span = F.when(whole, F.expr("array(struct(-2147483648 AS lo, 2147483647 AS hi))")).otherwise(F.expr(f"transform(starts, d -> struct(d - {2 * SLACK} AS lo, d + {2 * SLACK} AS hi))"))
     return both.select("item", "seg", "ord", F.explode(span).alias("x")).select("item", "seg", "ord", "x.lo", "x.hi")
@@ -210,21 +213,21 @@ def _counted(hits: DataFrame) -> DataFrame:
     return hits.mapInArrow(run, "item long, item_id long, length int, seg long, ord int, run int, doc_pos int, item_pos int, near int")
 
 
-def _judged(docs: DataFrame, items: DataFrame, n: int, near: float) -> tuple[DataFrame, DataFrame]:
+def _judged(docs: DataFrame, items: DataFrame, n: int, near: float, least: int) -> tuple[DataFrame, DataFrame]:
     """(matches by item, seg and ord; the documents' keys by seg and ord)."""
     index = build_index(docs)
-    terms = stash(item_terms(items), "item-terms")
+    terms = stash(item_terms(items, least), "item-terms")
+    lengths = stash(terms.select("item", "item_id", "length").distinct(), "items")
     wanted = broadcast_if_small(terms.select("term").distinct(), 8)
     often = index.where("term IS NOT NULL").select("term", "n").join(wanted, "term").groupBy("term").agg(F.sum("n").alias("often"))
     known = stash(terms.join(often, "term", "left"), "item-terms-often")
     pairs = stash(_rarest_pairs(known, n), "rarest-pairs")
-    hits = _probed(_candidates(pairs, _scarce(known, near), index, n, near), terms, index)
-    lengths = terms.select("item", "item_id", "length").distinct()
+    hits = _probed(_candidates(pairs, _scarce(known, near), lengths, index, n, near), terms, index)
     per_doc = hits.groupBy("item", "seg", "ord").agg(F.sort_array(F.collect_set(F.struct("diag", "o"))).alias("hits"))
-    least = F.least(F.lit(n), F.col("length"))
-    enough = per_doc.join(broadcast_if_small(lengths, 20), "item").where(F.size(F.array_distinct("hits.o")) >= F.least(least, _needed(near)))
+    whole = F.least(F.lit(n), F.col("length"))
+    enough = per_doc.join(broadcast_if_small(lengths, 20), "item").where(F.size(F.array_distinct("hits.o")) >= F.least(whole, _needed(near)))
     counted = _counted(enough.select("item", "item_id", "length", "seg", "ord", "hits"))
-    exact = F.col("run") >= least
+    exact = F.col("run") >= whole
     kind = F.when(exact, "exact").when(F.col("near") >= _needed(near), "proximity")
     found = counted.select("item", "item_id", "seg", "ord", kind.alias("kind"), F.when(exact, F.col("run")).otherwise(0).alias("run"), F.when(exact, F.col("doc_pos")).alias("doc_pos"), F.when(exact, F.col("item_pos")).alias("item_pos"), "near").where("kind IS NOT NULL")
     # Else Spark would go through the index once more for every count of these few rows.
@@ -233,25 +236,25 @@ def _judged(docs: DataFrame, items: DataFrame, n: int, near: float) -> tuple[Dat
     return found, keys
 
 
-def matches(docs: DataFrame, items: DataFrame, n: int = N, near: float = NEAR) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, n: int = N, near: float = NEAR, least: int = 1) -> DataFrame:
     """One row (item_id, doc_id, kind, run, doc_pos, item_pos, near) for each item that a document holds.
 
     kind is exact if the document has n consecutive tokens of the item (all of an item of fewer), else proximity if at
     least the share `near` of the item's tokens stand within SLACK of their places from a start that one of them has. run,
     doc_pos and item_pos tell the longest run of the former, the first in the document of equal ones; near counts the
-    latter, the most from any start. SQL looks for starts next to the rarest two of a window only: it has no other rows
-    than these, but misses items edited in these two.
-    Tokens, positions from 0, are runs of letters and digits in lower case. Null and empty texts and items of fewer
-    than LEAST_TOKENS match nothing. Repeated documents and items give repeated findings once. Null ids stay null.
+    latter, the most from any start.
+    Tokens, positions from 0, are runs of letters and digits in lower case. Null and empty texts match nothing, nor do
+    items of fewer than `least` tokens; by default all items count, one of a single word is in every document with that
+    word. Repeated documents and items give repeated findings once. Null ids stay null. Empty tables give no row.
     """
-    found, keys = _judged(docs, items, n, near)
+    found, keys = _judged(docs, items, n, near, least)
     named = keys.join(broadcast_if_small(found, 64), ["seg", "ord"])
     return named.select("item_id", "doc_id", "kind", "run", "doc_pos", "item_pos", "near").distinct()
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = N, near: float = NEAR) -> DataFrame:
-    """docs, all columns, without the rows that match an item."""
-    found, keys = _judged(docs, items, n, near)
+def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = N, near: float = NEAR, least: int = 1) -> DataFrame:
+    """docs, all columns, without the rows that match an item: see matches(). Null and empty texts stay."""
+    found, keys = _judged(docs, items, n, near, least)
     named = keys.join(broadcast_if_small(found.select("seg", "ord").distinct(), 16), ["seg", "ord"])
     named = stash(named.select(F.col("doc_id").alias("__id"), F.col("c1").alias("__c1"), F.col("c2").alias("__c2")).distinct(), "contaminated")
     text = docs["text"].cast("string")
@@ -273,9 +276,8 @@ WITH dt AS (
          generate_subscripts(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), 1)::INT - 1 AS o,
          len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'))::INT AS length
   FROM (SELECT DISTINCT item_id, text FROM benchmark)
-), items AS (SELECT * FROM it WHERE length >= {LEAST_TOKENS}
 ), pairs AS (  -- every term of an item at its diagonal in a document
-  SELECT i.item_id, i.length, i.o, d.doc_id, d.p - i.o AS diag, d.p FROM items i JOIN dt d USING (term)
+  SELECT i.item_id, i.length, i.o, d.doc_id, d.p - i.o AS diag, d.p FROM it i JOIN dt d USING (term)
 ), runs AS (
   SELECT item_id, length, doc_id, diag, o, o - row_number() OVER (PARTITION BY item_id, doc_id, diag ORDER BY o) AS r FROM pairs
 ), exact AS (
@@ -285,23 +287,14 @@ WITH dt AS (
   SELECT item_id, doc_id, max(run) AS run, arg_min(diag + o, (-run::BIGINT) * 1000000000 + diag + o) AS doc_pos,
          arg_min(o, ((-run::BIGINT) * 1000000000 + diag + o) * 100000 + o) AS item_pos
   FROM exact GROUP BY item_id, doc_id
-), cf AS (SELECT term, count(*) AS often FROM dt GROUP BY term
-), ranked AS (
-  SELECT g.item_id, g.o AS s, i.o, coalesce(often, 0) AS often, count(*) OVER (PARTITION BY g.item_id, g.o) AS n,
-         row_number() OVER (PARTITION BY g.item_id, g.o ORDER BY coalesce(often, 0), i.o) AS k
-  FROM items g JOIN items i ON i.item_id = g.item_id AND i.o BETWEEN g.o AND g.o + {N - 1} LEFT JOIN cf ON cf.term = i.term
-  WHERE g.o <= greatest(g.length - {N}, 0)
-), rare AS (
-  SELECT DISTINCT a.item_id, a.o AS o1, b.o AS o2 FROM ranked a JOIN ranked b ON a.item_id = b.item_id AND a.s = b.s AND a.k = 1 AND b.k = 2
-  WHERE a.often > 0
-), cand AS (
-  SELECT DISTINCT a.item_id, a.doc_id, a.diag FROM rare r
-  JOIN pairs a ON a.item_id = r.item_id AND a.o = r.o1 JOIN pairs b ON b.item_id = r.item_id AND b.o = r.o2 AND b.doc_id = a.doc_id
-  WHERE abs(a.diag - b.diag) <= {SLACK}
-), near AS (
+), enough AS (  -- of documents with fewer of an item's tokens, none can match
+  SELECT item_id, doc_id FROM pairs GROUP BY item_id, doc_id, length HAVING count(DISTINCT o) >= least({N}, ceil(length * {NEAR}))
+), few AS (SELECT p.* FROM pairs p SEMI JOIN enough e ON e.item_id = p.item_id AND e.doc_id = p.doc_id
+), near AS (  -- a start is where any token has it; a token counts for the starts within {SLACK} of its own
   SELECT item_id, doc_id, length, max(near)::INT AS near FROM (
-    SELECT c.item_id, c.doc_id, c.diag, p.length, count(DISTINCT p.o) AS near FROM cand c
-    JOIN pairs p ON p.item_id = c.item_id AND p.doc_id = c.doc_id AND abs(p.diag - c.diag) <= {SLACK}
+    SELECT s.item_id, s.doc_id, s.diag, s.length, count(DISTINCT p.o) AS near
+    FROM (SELECT DISTINCT item_id, doc_id, length, diag, diag + unnest(range(-{SLACK}, {SLACK + 1})) AS at FROM few) s
+    JOIN few p ON p.item_id = s.item_id AND p.doc_id = s.doc_id AND p.diag = s.at
     GROUP BY ALL) GROUP BY item_id, doc_id, length
 )
 SELECT n.item_id, n.doc_id, CASE WHEN b.run IS NOT NULL THEN 'exact' ELSE 'proximity' END AS kind,
