@@ -1,9 +1,13 @@
 """Exact substring deduplication over token windows.
 
-Every window of LENGTH tokens of every document gets a Rabin-Karp hash. The hashes travel packed, eight bytes each, from
-segments of documents to buckets of the hash space, where Spark tasks count them; what goes back is one bit a window.
-Each segment then merges its repeated windows into maximal intervals. Segments are a stored table, so both passes, and
-any task that is run again, see the same windows in the same order.
+Every window of LENGTH tokens of every document gets a Rabin-Karp hash. A segment of documents counts its own first: each
+of its distinct hashes travels once, packed in eight bytes, to its bucket of the hash space, where Spark tasks count the
+segments that have it; what goes back is one bit a hash. So a passage that a third of all documents share weighs no more
+than once a segment. Each segment then merges its repeated windows into maximal intervals. Segments are a stored table,
+so both passes, and any task that is run again, see the same windows in the same order.
+
+Windows are compared by their 64-bit hashes: of n windows about n * n / 2**65 pairs collide by chance, one in a corpus
+of 6e9 windows, some millions of 1e13 at 100 TB (one window in 1e6).
 """
 
 from __future__ import annotations
@@ -19,10 +23,10 @@ from graphlode.llm import textkernel as tk
 from graphlode.storage import stash
 
 LENGTH = 50
-SEGMENT_BYTES = 12 << 20
+SEGMENT_BYTES = 6 << 20
 #: Hashes that one bucket is meant to hold; with more windows there are more buckets.
-BUCKET_HASHES = 2_000_000
-LEAST_BUCKETS, MOST_BUCKETS = 32, 1 << 16
+BUCKET_HASHES = 1_000_000
+LEAST_BUCKETS = 32
 
 
 def _segments(docs: DataFrame) -> DataFrame:
@@ -76,16 +80,25 @@ class _Windows:
         self.first = np.concatenate(first) if first else none
         self.hash = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
 
-    def by_bucket(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(order, the buckets that occur, where each begins and the last ends in order); stable inside a bucket."""
-        bucket = (((self.hash >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.uint16)
-        order = np.argsort(bucket, kind="stable")
-        found, at = np.unique(bucket[order], return_index=True)
-        return order, found, np.append(at, len(order))
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(order of the windows by hash, where each distinct hash begins in it, the distinct hashes, which occur twice)."""
+        order = np.argsort(self.hash, kind="stable")
+        h = self.hash[order]
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = h[1:] != h[:-1]
+        begin = np.flatnonzero(new)
+        return order, begin, h[begin], np.diff(np.append(begin, len(h))) > 1
+
+
+def _by_bucket(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the buckets that occur, where each begins and the last ends) of sorted hashes: the upper 32 bits, scaled."""
+    bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    found, at = np.unique(bucket, return_index=True)
+    return found.astype(np.int64), np.append(at, len(hashes))
 
 
 def _count_bucket(table: pa.Table) -> pa.Table:
-    """(seg, bucket, mask): a bit for each hash of a row, set if the bucket has it more than once."""
+    """(seg, bucket, mask): a bit for each hash of a row, set if another segment has it too."""
     rows = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table["hashes"]]
     h = np.concatenate(rows)
     order = np.argsort(h)
@@ -111,21 +124,21 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     segments = _segments(docs)
     # Two letters and a blank are about the least a token takes; the number only sets how many buckets there are.
     size = segments.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = int(min(MOST_BUCKETS, max(LEAST_BUCKETS, size // 6 // BUCKET_HASHES)))
+    buckets = int(max(LEAST_BUCKETS, size // 6 // BUCKET_HASHES))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                w = _Windows(b.column(2)[i], b.column(1)[i], length)
-                order, found, at = w.by_bucket(buckets)
-                raw = w.hash[order].tobytes()
+                _, _, hashes, _ = _Windows(b.column(2)[i], b.column(1)[i], length).distinct()
+                found, at = _by_bucket(hashes, buckets)
+                raw = hashes.tobytes()
                 off = pa.py_buffer((at * 8).astype(np.int32)) if len(found) else pa.py_buffer(np.zeros(1, np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(found.astype(np.int32)), pa.array(np.full(len(found), b.column(0)[i].as_py(), dtype=np.int64)), pa.Array.from_buffers(pa.binary(), len(found), [None, off, pa.py_buffer(raw)])], names=["bucket", "seg", "hashes"]
+                    [pa.array(found), pa.array(np.full(len(found), b.column(0)[i].as_py(), dtype=np.int64)), pa.Array.from_buffers(pa.binary(), len(found), [None, off, pa.py_buffer(raw)])], names=["bucket", "seg", "hashes"]
                 )
 
-    packed = segments.select("seg", "lengths", "text").mapInArrow(pack, "bucket int, seg long, hashes binary")
-    masks = stash(packed.groupBy("bucket").applyInArrow(_count_bucket, "seg long, bucket int, mask binary"), "substring-masks")
+    packed = segments.select("seg", "lengths", "text").mapInArrow(pack, "bucket long, seg long, hashes binary")
+    masks = stash(packed.groupBy("bucket").applyInArrow(_count_bucket, "seg long, bucket long, mask binary"), "substring-masks")
     per_segment = masks.groupBy("seg").agg(F.collect_list(F.struct("bucket", "mask")).alias("masks"))
     mask_bytes = masks.agg(F.sum(F.octet_length("mask") + 24)).first()[0] or 0
     joined = segments.join(F.broadcast(per_segment) if mask_bytes < 32 << 20 else per_segment, "seg")
@@ -134,12 +147,15 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for b in batches:
             for i in range(b.num_rows):
                 w = _Windows(b.column(2)[i], b.column(1)[i], length)
-                order, found, at = w.by_bucket(buckets)
+                order, begin, hashes, twice = w.distinct()
+                found, at = _by_bucket(hashes, buckets)
                 given = b.column(3)[i].values
                 bits = dict(zip(given.field("bucket").to_pylist(), given.field("mask").to_pylist()))
                 flags = [np.unpackbits(np.frombuffer(bits[int(k)], dtype=np.uint8), count=int(n)) for k, n in zip(found, np.diff(at))]
+                if flags:
+                    twice |= np.concatenate(flags).astype(bool)
                 repeated = np.zeros(len(order), dtype=bool)
-                repeated[order] = np.concatenate(flags) if flags else False
+                repeated[order] = np.repeat(twice, np.diff(np.append(begin, len(order))))
                 owner, first = w.owner[repeated], w.first[repeated]
                 new = np.ones(len(first), dtype=bool)
                 new[1:] = (owner[1:] != owner[:-1]) | (first[1:] > first[:-1] + length)
