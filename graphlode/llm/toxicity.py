@@ -4,10 +4,12 @@ Words get a class: insult (I), an insult that the labels vouch for (S), threat v
 reporting verb (R), quotation mark (Q), other (O). Four transducers are composed into one machine that reads a clause:
 negation (an insult or threat up to three words after N is negated), reported speech (one after R, or between Qs, is
 reported), target (an insult in a clause with a target is aimed; a threat verb needs one after it) and the scorer.
-A document's score is the sum over its matched clauses; REJECT and more is toxic. One untargeted insult stays below it.
+A document's score is the sum over its matched clauses; REJECT and more is toxic. An aimed insult or threat reaches it in
+one clause. What isn't aimed doesn't: four listed insults are needed, or two that the labels vouch for.
 
-S comes from labelled rows: among whole words and word beginnings, those are chosen by greedy covering that mark toxic
-rows and hardly any other, so that languages without a word list, and inflected forms, are met too.
+S comes from labelled rows: listed insults, other words and word beginnings that mark toxic rows and hardly any other, so
+that languages without a word list, and inflected forms, are met too. Of the unlisted those are chosen that mark most
+toxic rows in which fewer than two words are marked yet.
 """
 
 from __future__ import annotations
@@ -42,12 +44,16 @@ REPORTS = "said says say called calls wrote writes claimed claims quoted tweeted
 CLASSES = "OISVTNRQ"
 _KIND = np.uint64(15)
 _LABELS = CLASSES + "isvr"
+#: Words that are to be marked in a toxic row of the sample, if it has so many.
+MARKS = 2
 
 
 @lru_cache(maxsize=1)
 def grammar() -> Wfst:
     """negation o reported speech o target o scorer over CLASSES."""
 
+    weight = {"I": 0.4, "S": 0.8, "V": 1.6, "A": 1.6, "i": 0.0, "s": 0.0, "r": 0.1, "O": 0.0}
+
     def negation(left: int, x: str):
         if x == "N":
             return "O", 0.0, SCOPE
@@ -62,24 +68,24 @@ def grammar() -> Wfst:
         return ("r" if (after or quoted) and x in "ISVis" else x), 0.0, state
 
     def target(state: tuple[bool, bool, bool], x: str):
-        seen, insulted, threatened = state  # a target; an insult not yet aimed; a threat verb
+        seen, insult, threatened = state  # a target; the weightiest insult not yet aimed, "" if none; a threat verb
         if x == "T":
-            y = "V" if threatened else "I" if insulted else "O"
-            return y, 0.0, (True, False, False)
+            # What the insult weighed where it stood is made up to the weight of an aimed one.
+            y, w = ("V", 0.0) if threatened else ("A", -weight[insult]) if insult else ("O", 0.0)
+            return y, w, (True, "" if y == "A" else insult, False)
         if x == "V":
-            return "O", 0.0, (seen, insulted, True)
+            return "O", 0.0, (seen, insult, True)
         if x in "IS":
-            return (x, 0.8, state) if seen else (x, 0.0, (seen, True, threatened))
+            return ("A", 0.0, state) if seen else (x, 0.0, (seen, max(x, insult), threatened))
         return ("O" if x == "v" else x), 0.0, state
 
-    weight = {"I": 0.8, "S": 1.6, "V": 1.6, "i": 0.0, "s": 0.6, "r": 0.1, "O": 0.0}
 
     def score(state: int, x: str):
         return x, weight[x], state
 
     machine = compose(build(CLASSES, 0, negation), build(_LABELS, (False, False), reported))
-    machine = compose(machine, build(_LABELS, (False, False, False), target))
-    return compose(machine, build("OISVisr", 0, score))
+    machine = compose(machine, build(_LABELS, (False, "", False), target))
+    return compose(machine, build("OISVAisr", 0, score))
 
 
 class Lexicon:
@@ -205,16 +211,22 @@ def scorer(lexicon: Lexicon):
 # -- fitting
 
 
-def _features(c: tk.Codes) -> tuple[np.ndarray, np.ndarray]:
-    """(document in the chunk, feature) for each distinct feature of each document. A feature's lowest 4 bits tell its kind."""
+def _occurrences(c: tk.Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document in the chunk, token, feature) of each token's features. A feature's lowest 4 bits tell its kind: 0 for
+    the whole word, else how many letters it begins with."""
     t = tk.tokenize(c)
-    owner = np.repeat(np.arange(len(c.at) - 1), np.diff(t.at))
-    docs, feats = [owner], [t.hash & ~_KIND]
+    tokens, feats = [np.arange(len(t.hash))], [t.hash & ~_KIND]
     for n in PREFIXES:
         which, h = prefix_hashes(c, t, n)
-        docs.append(owner[which])
+        tokens.append(which)
         feats.append((h & ~_KIND) | np.uint64(n))
-    d, f = np.concatenate(docs), np.concatenate(feats)
+    token = np.concatenate(tokens)
+    return np.repeat(np.arange(len(c.at) - 1), np.diff(t.at))[token], token, np.concatenate(feats)
+
+
+def _features(c: tk.Codes) -> tuple[np.ndarray, np.ndarray]:
+    """(document in the chunk, feature) for each distinct feature of each document."""
+    d, _, f = _occurrences(c)
     order = np.lexsort((f, d))
     d, f = d[order], f[order]
     keep = np.ones(len(d), dtype=bool)
@@ -278,41 +290,52 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c in tk.chunks(b.column(0)):
-                d, f = _features(c)
+                d, token, f = _occurrences(c)
                 hit = _among(f, good)
-                where, n = np.unique(d[hit], return_counts=True)
-                flat = pa.array(np.searchsorted(good, f[hit]).astype(np.int32))
-                off = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(off, flat)], names=["has"])
+                d, token, f = d[hit], token[hit], np.searchsorted(good, f[hit])
+                for i in np.unique(d):
+                    own = d == i
+                    yield pa.RecordBatch.from_arrays([pa.array([token[own]], pa.list_(pa.int64())), pa.array([f[own]], pa.list_(pa.int32()))], names=["token", "feature"])
 
-    lists = toxic.select("__text").mapInArrow(members, "has array<int>").toArrow()["has"]
-    return _choose(good, odds[odds >= MIN_ODDS], [x.values.to_numpy() for x in lists])
+    rows = toxic.select("__text").mapInArrow(members, "token array<long>, feature array<int>").toArrow()  # bounded by the sample
+    return _choose(good, odds[odds >= MIN_ODDS], [(t.values.to_numpy(), f.values.to_numpy()) for t, f in zip(rows["token"], rows["feature"])])
 
 
-def _choose(good: np.ndarray, odds: np.ndarray, rows: list[np.ndarray]) -> Lexicon:
-    """Greedy covering: the feature that marks most rows not yet marked, then the longer beginning, then the better odds."""
+def _choose(good: np.ndarray, odds: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]]) -> Lexicon:
+    """The listed insults among the features, and by greedy covering others until MARKS words of each row are marked.
+
+    rows: (token, feature) of a row's occurrences. A feature gains the rows that lack marks and have it on a word that is
+    not yet marked; at equal gain the longer beginning wins, then the better odds.
+    """
     if not rows:
         return Lexicon()
-    has: list[list[int]] = [[] for _ in good]
-    for i, r in enumerate(rows):
-        for j in r:
-            has[j].append(i)
+    row = np.repeat(np.arange(len(rows)), [len(t) for t, _ in rows])
+    token, feature = (np.concatenate([r[i] for r in rows]).astype(np.int64) for i in (0, 1))
+    _, word = np.unique(np.stack([row, token]), axis=1, return_inverse=True)  # occurrences of words, numbered
+    owner = np.zeros(word.max() + 1, dtype=np.int64)
+    owner[word] = row
     length = np.where((good & _KIND) == 0, 9, good & _KIND).astype(int)
-    gain = np.array([len(x) for x in has])
-    left = np.ones(len(rows), dtype=bool)
-    words, prefixes = [], {n: [] for n in PREFIXES}
+    marked = np.zeros(len(owner), dtype=bool)
+    chosen: list[int] = []
+
+    def choose(j: int) -> None:
+        chosen.append(j)
+        marked[word[feature == j]] = True
+
+    listed = np.array(sorted(tk.hash_word(w) & ~15 for w in INSULTS), dtype=np.uint64)
+    for j in np.flatnonzero(_among(good, listed) & ((good & _KIND) == 0)):
+        choose(int(j))
     while True:
+        lacking = np.bincount(owner[marked], minlength=len(rows)) < MARKS
+        alive = lacking[row] & ~marked[word]
+        pairs = np.unique(feature[alive] * len(rows) + row[alive])
+        gain = np.bincount(pairs // len(rows), minlength=len(good))
         best = max(range(len(good)), key=lambda j: (gain[j], length[j], odds[j], -int(good[j])))
         if gain[best] < MIN_GAIN:
             break
-        kind = int(good[best] & _KIND)
-        (prefixes[kind] if kind else words).append(int(good[best]))
-        for i in has[best]:
-            if left[i]:
-                left[i] = False
-                for j in rows[i]:
-                    gain[j] -= 1
-    return Lexicon(words, prefixes)
+        choose(best)
+    kinds = {n: [int(good[j]) for j in chosen if int(good[j] & _KIND) == n] for n in (0, *PREFIXES)}
+    return Lexicon(kinds.pop(0), kinds)
 
 
 # -- operators

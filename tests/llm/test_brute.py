@@ -1,5 +1,6 @@
 """Operators against slow versions written apart from them, over small fixtures."""
 
+import functools
 import hashlib
 import math
 import random
@@ -410,10 +411,51 @@ def score(text, lexicon=None):
     return toxicity.score_chunk(next(tk.chunks(pa.array([text]))), lexicon or toxicity.Lexicon())[0][0]
 
 
+def brute_toxicity(text, learned=lambda w: False):
+    """The grammar's rules, clause by clause, without a transducer."""
+    kinds = {w: k for k, ws in (("R", toxicity.REPORTS), ("N", toxicity.NEGATIONS), ("T", toxicity.TARGETS), ("V", toxicity.THREATS), ("I", toxicity.INSULTS)) for w in ws}
+    total = 0.0
+    for line in (text or "").split("\n"):
+        quotes_before = 0
+        for clause in re.split(r"[.!?;\r]", line):
+            marks = [m.group() for m in re.finditer(r"[^\W_]+|[\"“”«»„]", clause)]
+            words = [i for i, m in enumerate(marks) if m[0].isalnum()]
+            labels = ["Q" if not m[0].isalnum() else "S" if learned(m.lower()) else kinds.get(m.lower(), "O") for m in marks]
+            if words:
+                inside = (quotes_before + words[0]) % 2  # the marks before the first word are all quotation marks
+                insults, threats, targets = [], [], []
+                for i in range(words[0], words[-1] + 1):
+                    x = labels[i]
+                    inside ^= x == "Q"
+                    negated = any(labels[j] == "N" for j in range(max(words[0], i - toxicity.SCOPE), i))
+                    said = inside or "R" in labels[words[0] : i]
+                    if x == "T":
+                        targets.append(i)
+                    elif x in "ISV" and said:
+                        total += 0 if x == "V" and negated else 0.1
+                    elif x in "IS" and not negated:
+                        insults.append((i, {"I": 0.4, "S": 0.8}[x]))
+                    elif x == "V" and not negated:
+                        threats.append(i)
+                free = []  # targets that no threat takes
+                for a, b in zip([-1, *targets], targets):
+                    if any(a < t < b for t in threats):
+                        total += 1.6
+                    else:
+                        free.append(b)
+                early = [(i, w) for i, w in insults if not targets or i < targets[0]]
+                total += 1.6 * (len(insults) - len(early)) + sum(w for _, w in early)
+                if early and free:
+                    total += 1.6 - max(w for _, w in early)
+            quotes_before += sum(x == "Q" for x in labels)
+    return round(total, 6)
+
+
 def test_grammar():
     assert score("You are an idiot, you moron.") == pytest.approx(3.2)
     assert score("you idiot") == score("idiot, you!") == pytest.approx(1.6)
-    assert score("idiot") == pytest.approx(0.8)
+    assert score("idiot") == pytest.approx(0.4)
+    assert score("Take out the trash. The circus clown arrived.") < toxicity.REJECT
     assert score("you are not an idiot") == 0
     assert score("you are not an idiot you moron") == pytest.approx(1.6)
     assert score("he said you idiot you moron") == pytest.approx(0.2)
@@ -422,6 +464,35 @@ def test_grammar():
     assert score("I will never kill you") < toxicity.REJECT
     assert score("kill the process") == 0
     assert score("you idiot. you moron!") == pytest.approx(3.2)
+    learned = toxicity.Lexicon([tk.hash_word("grobber") & ~15], {4: [tk.hash_word("zwil")]})
+    assert score("a grobber", learned) == score("the zwilling there", learned) == pytest.approx(0.8)
+    assert score("a grobber. the zwilling there", learned) >= toxicity.REJECT
+    assert score("you grobber", learned) == pytest.approx(1.6) and score("not a grobber", learned) == 0
+
+
+def test_grammar_on_random_clauses():
+    r = random.Random(34)
+    words = ["you", "idiot", "trash", "kill", "not", "said", "sun", "grobber", "zwilling", "they", "rain"]
+    learned = toxicity.Lexicon([tk.hash_word("grobber") & ~15], {4: [tk.hash_word("zwil")]})
+    for _ in range(3000):
+        text = "".join(r.choice(words) + r.choice([" ", " ", " ", ", ", ' "', '" ', ". ", "!\n", "\n", "; ", " “"]) for _ in range(r.randint(0, 14)))
+        assert round(score(text, learned), 6) == brute_toxicity(text, lambda w: w == "grobber" or w.startswith("zwil")), text
+
+
+def test_toxicity_of_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    lexicon = toxicity.fit(docs, labels)
+    words, prefixes = set(lexicon.words.tolist()), {n: set(h.tolist()) for n, h in lexicon.prefix.items()}
+    assert words or prefixes
+
+    @functools.cache
+    def learned(w):
+        return tk.hash_word(w) & ~15 in words or any(len(w) >= n and tk.hash_word(w[:n]) & ~15 in h for n, h in prefixes.items())
+
+    want = {x.doc_id: v for x in docs.select("doc_id", "text").collect() if (v := brute_toxicity(x.text, learned)) >= toxicity.REJECT}
+    got = {x.doc_id: x.score for x in toxicity.toxic_documents(docs, labels).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in got) and len(got) > 30
 
 
 def test_composition_is_the_machines_one_after_the_other():

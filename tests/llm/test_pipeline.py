@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline
 from graphlode.llm import mixing, queries, sharding
-from tests.llm.test_brute import best_fit, brute_matches, brute_mixture, frame, jaccard, score, texts
+from tests.llm.test_brute import best_fit, brute_matches, brute_mixture, brute_toxicity, frame, jaccard, texts
 from tests.llm.test_edges import items, labels, odd
 from tests.oracle import DATA, differences
 
@@ -29,7 +29,7 @@ def test_pipeline(spark, tmp_path):
     frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    left = {i: t for i, t in enumerate(rows) if score(t) < 1.5}
+    left = {i: t for i, t in enumerate(rows) if brute_toxicity(t) < 1.5}
     assert 7 not in left
     kept = {}
     for i, t in left.items():
