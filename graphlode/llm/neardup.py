@@ -6,7 +6,7 @@ fraction. Component ranks of one element are thus correlated, which lowers the v
 hashes, and a document stops at the step that no component can gain from: after one or two of 128 for most texts.
 
 Equal signatures are one node. Nodes that agree on all rows of a band are candidates; candidates are verified on the
-whole signature, and verified pairs are grouped by union-find.
+whole signature (an estimate of the similarity with an error of some 0.04), and verified pairs are grouped by union-find.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from graphlode.llm import textkernel as tk
 from graphlode.storage import broadcast_if_small, cut, stash
@@ -26,6 +26,8 @@ SHINGLE = 3
 THRESHOLD = 0.5
 #: A pair is taken as verified from so much below the threshold, for the signature's error.
 MARGIN = 0.05
+#: Nodes of a band that one task compares; more of them are compared in parts.
+LIST = 2048
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -132,20 +134,60 @@ def spanning_pairs(sig: np.ndarray, least: int) -> list[tuple[int, int]]:
     return pairs
 
 
+def _parts_of_crowded(rows: DataFrame, crowded: DataFrame, sigs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """(parts (list, node) for comparison, edges (a, b)) of bands with more than LIST nodes.
+
+    rows: (band, node); crowded: (band, n, leader). Every node is compared with its band's leader: those that verify are
+    linked by it. The others, few where a band is crowded with copies, have to be compared with all: so each part is a
+    slice of them together with a slice of all, and no pair but those that the leader links is left out.
+    """
+    led = rows.join(broadcast_if_small(crowded, 24), "band").where("node <> leader").join(sigs, "node")
+    leaders = stash(sigs.join(crowded.select(F.col("leader").alias("node")).distinct(), "node").select(F.col("node").alias("leader"), F.col("sig").alias("leads")), "near-leaders")
+    led = led.join(broadcast_if_small(leaders, 16 + SIZE), "leader")
+
+    def same(a: pa.Array, b: pa.Array) -> pa.Array:
+        x, y = (np.frombuffer(b"".join(v.as_buffer() for v in side), dtype=np.uint8).reshape(-1, SIZE) for side in (a, b))
+        return pa.array((x == y).sum(axis=1) >= least)
+
+    judged = stash(led.select("band", "n", "leader", "node", F.arrow_udf(same, "boolean")("sig", "leads").alias("same")), "near-crowded")
+    edges = judged.where("same").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    apart = judged.where("NOT same").select("band", "node")
+    slices = judged.groupBy("band").agg(F.count("*").alias("n"), F.count(F.when(~F.col("same"), 1)).alias("m")).where("m > 0")
+    slices = slices.select("band", F.ceil(F.col("n") * 2 / LIST).alias("all"), F.ceil(F.col("m") * 2 / LIST).alias("some"))
+    slices = broadcast_if_small(stash(slices, "near-slices"), 24)
+
+    def at(of: str) -> Column:
+        return F.pmod(F.xxhash64("node", F.lit(of)), F.col(of))
+
+    def numbers(of: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
+
+    few = apart.join(slices, "band").select("band", "node", at("some").alias("u"), numbers("all").alias("v"))
+    every = judged.join(slices, "band").select("band", "node", at("all").alias("v"), numbers("some").alias("u"))
+    parts = few.unionByName(every).select(F.xxhash64("band", "u", "v").alias("list"), "node").distinct()
+    return parts, edges
+
+
 def verified_edges(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b), nodes: enough verified pairs to group what all verified candidates would group."""
     least = least_matches(threshold)
-    nodes = signed.groupBy("node").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    nodes = stash(signed.groupBy("node").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands")), "near-nodes")
+    rows, sigs = nodes.select("node", F.explode("bands").alias("band")), nodes.select("node", "sig")
+    shared = stash(rows.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1"), "near-bands")
+    crowded = shared.where(F.col("n") > LIST)
     lists = (
-        nodes.select("node", F.explode("bands").alias("band"))
+        rows.join(shared.where(F.col("n") <= LIST).select("band"), "band")
         .groupBy("band")
         .agg(F.sort_array(F.collect_list("node")).alias("nodes"))
-        .where(F.size("nodes") > 1)
         .select("nodes")
         .distinct()  # the copies of one text meet in many bands; each set of candidates is verified once
     )
-    members = lists.select(F.xxhash64("nodes").alias("list"), F.size("nodes").alias("size"), F.explode("nodes").alias("node"))
-    packed = members.join(nodes.select("node", "sig"), "node").groupBy("list", "size").agg(F.collect_list("node").alias("nodes"), F.collect_list("sig").alias("sigs"))
+    members = lists.select(F.xxhash64("nodes").alias("list"), F.explode("nodes").alias("node"))
+    linked = None
+    if not crowded.isEmpty():
+        parts, linked = _parts_of_crowded(rows, crowded, sigs, least)
+        members = members.unionByName(parts)
+    packed = members.join(sigs, "node").groupBy("list").agg(F.collect_list("node").alias("nodes"), F.collect_list("sig").alias("sigs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -166,7 +208,8 @@ def verified_edges(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame
                 c.append(ids[pairs[:, 1]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(c))], names=["a", "b"])
 
-    return packed.select("nodes", "sigs").mapInArrow(run, "a long, b long").distinct()
+    edges = packed.select("nodes", "sigs").mapInArrow(run, "a long, b long")
+    return (edges if linked is None else edges.unionByName(linked)).distinct()
 
 
 def _local_union_find(edges: DataFrame) -> DataFrame:

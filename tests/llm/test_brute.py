@@ -586,6 +586,23 @@ def test_near_groups(spark):
     assert kept == {i for i in range(len(rows)) if root(i) == i}
 
 
+def test_crowded_bands(spark, monkeypatch):
+    """Lists in parts give the groups that whole ones give."""
+    r, vocab, _ = texts(35, 1, 10)
+    base = [r.choice(vocab) for _ in range(80)]
+    rows = []
+    for _ in range(60):  # a crowd of near copies, and texts that share half with them
+        w = list(base)
+        for i in r.sample(range(80), 3):
+            w[i] = r.choice(vocab)
+        rows.append(" ".join(w))
+        rows.append(" ".join([*base[:45], *(r.choice(vocab) for _ in range(60))]))
+    df = frame(spark, rows)
+    want = {x.doc_id: x.group_id for x in neardup.near_duplicates(df).collect()}
+    monkeypatch.setattr(neardup, "LIST", 8)
+    assert {x.doc_id: x.group_id for x in neardup.near_duplicates(df).collect()} == want and len(want) >= 60
+
+
 def test_components(spark):
     r = random.Random(14)
     pairs = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(60)]
