@@ -165,6 +165,6 @@ def test_warc_edges(spark):
     pages = spark.createDataFrame([(1, "http://a.b/c?d#e", "<p>ü</p>", "x"), (1, "http://a.b/c?d#e", "<p>ü</p>", "y"), (None, None, None, None), (2, "", "", "z"), (3, "http://long/", "z" * 3_000_000, "z")], "page_id long, url string, html string, block string")
     rows = warc.assemble(warc.parse_records(warc.archive(pages))).collect()
     assert len(rows) == 4
-    assert all(r.request and r.response and len(r.metadata) == 1 and r.others == [] for r in rows)
+    assert all(r.request and r.response and len(r.metadata) == 1 and r.requests == r.responses == [] for r in rows)
     assert sorted(r.target_uri for r in rows) == ["", "about:blank", "http://a.b/c?d#e", "http://long/"]
     assert warc.assemble(warc.parse_records(warc.archive(pages.limit(0)))).collect() == []
