@@ -32,19 +32,22 @@ class Engine:
     def build(self, root: str, commits: DataFrame | None = None, strict_callees: bool = True) -> None:
         """Scans, parses, links and scores the tree, and writes all tables. commits: (hash, author, date, files), taken from
         git by default. strict_callees: callees are parted at dots only; else at :: and -> too, and new and ! are dropped."""
-        self._write(stash(files.scan(self.spark, root), "files"), gitlog.commits_of(self.spark, root) if commits is None else commits, strict_callees)
+        scanned = stash(files.scan(self.spark, root), "files")
+        self._write(scanned, parse.parse(scanned), gitlog.commits_of(self.spark, root) if commits is None else commits, strict_callees)
 
     def update(self, root: str, commits: DataFrame | None = None) -> DataFrame:
         """(file_path, status) of what is new, changed or deleted since the last build; if anything is, all tables are made
-        anew but for the parse of unchanged files, which goes by their content's hash."""
+        anew, but only files whose content's hash has no stored parse are parsed."""
         scanned = stash(files.scan(self.spark, root), "files")
         plan = stash(content.hash_diff(self.store.read("file_hashes"), content.file_hashes(scanned)), "plan")
         if not plan.isEmpty():
-            self._write(scanned, gitlog.commits_of(self.spark, root) if commits is None else commits, True)
+            now = content.file_hashes(scanned)
+            kept = stash(self.store.read("parsed").join(now, ["file_path", "content_hash"], "left_semi").drop("content_hash"), "kept")
+            fresh = parse.parse(scanned.join(kept, "file_path", "left_anti"))
+            self._write(scanned, kept.unionByName(fresh), gitlog.commits_of(self.spark, root) if commits is None else commits, True)
         return plan
 
-    def _write(self, scanned: DataFrame, commits: DataFrame, strict_callees: bool) -> None:
-        parsed = parse.parse(scanned)
+    def _write(self, scanned: DataFrame, parsed: DataFrame, commits: DataFrame, strict_callees: bool) -> None:
         nodes, calls, imports = stash(parse.nodes_of(parsed), "nodes"), parse.calls_of(parsed), stash(parse.imports_of(parsed), "imports")
         if not strict_callees:
             calls = calls.withColumn("callee", F.regexp_replace(F.regexp_replace(F.regexp_replace("callee", r"^new\s+", ""), "!$", ""), "::|->", "."))
@@ -73,6 +76,7 @@ class Engine:
         flows = concepts.concept_flows(find.entry_points(scored), calls_only)
         keywords = stash(search.extract_keywords(nodes.withColumn("tags", F.filter("tags", lambda t: ~t.startswith("category:")))), "keywords")
         paths = flows.unionByName(concepts.domain_clusters(keywords, calls_only)).unionByName(concepts.concept_chains(graph.linear_chains(scored, calls_only))).dropDuplicates(["id"])
+        self.store.write("parsed", parsed.join(content.file_hashes(scanned), "file_path"))
         self.store.write("nodes", scored)
         self.store.write("edges", stored_edges)
         self.store.write("keywords", keywords)
@@ -133,7 +137,7 @@ class Engine:
         close = self.table("cochanges").where("coupling_score >= 0.4 AND co_commit_count >= 3")
         both = close.select(F.col("file_a").alias("f"), F.col("file_b").alias("other"), "coupling_score").unionByName(close.select(F.col("file_b").alias("f"), F.col("file_a").alias("other"), "coupling_score"))
         calls = self.edges.where("edge_type = 'calls'")
-        flows = concepts.flow_paths(ids, calls, max_depth=4, max_paths=1).select(F.col("entry"), "path").limit(3)
+        flows = concepts.nav_flows(primary.select(F.lit("nav").alias("group"), "id", "rank"), calls).select(F.get("path", F.lit(0)).alias("entry"), "n", "path")
         return {
             "primary": primary.orderBy("rank"), "secondary": around.unionByName(weak), "cochange": both.join(paths, "f", "left_semi").orderBy(F.desc("coupling_score"), "other").limit(3),
             "warnings": self.warnings().join(ids.withColumnRenamed("id", "node_id"), "node_id", "left_semi"), "read_order": concepts.read_order(primary.select(F.lit("nav").alias("group"), "id", "importance"), calls), "flows": flows,
@@ -198,11 +202,22 @@ class Engine:
         a, kind, c = parsed
         return composites.verify(self.edges, f"{self.symbol(a)} {'extends' if kind == 'inherits' else kind} {self.symbol(c)}")
 
-    def trace(self, source: str, target: str, calls_only: bool = False) -> DataFrame:
-        a, c = self.symbol(source), self.symbol(target)
+    def trace(self, source: str, target: str, calls_only: bool = False, via_inheritance: bool = False, root: str | None = None, pick_source: int | None = None, pick_target: int | None = None) -> DataFrame:
+        """The path from source to target: over certain calls, else over calls, inheritance and dispatch; calls_only and
+        via_inheritance leave one of the two. With root, the source lines of each symbol on it."""
+        if calls_only and via_inheritance:
+            raise ValueError("calls_only and via_inheritance exclude each other")
+        a, c = self.symbol(source, pick_source), self.symbol(target, pick_target)
         if calls_only:
-            return graph.shortest_path(graph.steps(graph.strict(self.edges), ["calls"]), a, c, 8)
-        return graph.trace(self.edges, a, c)
+            path = graph.shortest_path(graph.steps(graph.strict(self.edges), ["calls"]), a, c, 8)
+        else:
+            path = graph.trace_via_inheritance(self.edges, a, c) if via_inheritance else graph.trace(self.edges, a, c)
+        if root is None:
+            return path
+        path = stash(path, "path")
+        at = path.join(self.nodes.select("id", "file_path", "line_start", "line_end"), "id").withColumn("depth", F.col("pos"))
+        source_of = content.read_source(at, files.scan(self.spark, root)).select("id", "file_path", "line_start", "line_end", "source")
+        return path.join(source_of, "id", "left").orderBy("pos")
 
     def ask(self, what: str, *args: str, pick: int | None = None) -> DataFrame:
         """exists, signature, calls, imports, is-async, returns-type, callers-count, has-tests."""
@@ -277,6 +292,32 @@ class Engine:
             "fragile_zones": composites.fragile_zones(self.nodes, self.edges, conflicts).orderBy(F.desc("importance"), "id").limit(5), "couplings": history.couplings(self.table("cochanges")).orderBy(F.desc("coupling_score"), "file_a", "file_b").limit(5),
         }
 
+    def briefing_markdown(self, title: str) -> str:
+        """The briefing as Markdown. Each section has a fixed number of lines at most, and says how many there are besides."""
+        from graphlode.functions.markdown import section
+
+        parts = self.briefing()
+        meta = {r["key"]: r["value"] for r in self.table("meta").collect()}
+        more = {
+            "module_map": scores.module_map(self.nodes).count(), "entry_points": find.entry_points(self.nodes).count(), "hotspots": self.table("file_stats").where("commits_30d > 0").count(),
+        }
+        rows = {k: df.collect() for k, df in parts.items()}  # at most 15 rows each
+        named = {r["id"]: r for r in self.nodes.join(parts["fragile_zones"].select("id"), "id", "left_semi").select("id", "name", "file_path").collect()}
+        fragile = [(named[r["id"]], r) for r in rows["fragile_zones"]]
+        hazards = lambda r: ", ".join(x for x in ("no tests" if r["untested"] else "", f"{r['callers']} callers" if r["callers"] else "", "callers disagree" if r["conflict"] else "") if x)
+        short = lambda i: i.rsplit("::", 1)[-1]
+        flow = lambda ids: " → ".join([*map(short, ids[:6]), *(["…"] if len(ids) > 6 else [])])
+        return "\n".join([
+            f"# {title}", "", ", ".join(r["technology"] for r in rows["tech_stack"]), "", f"{meta.get('node_count', 0)} symbols, {meta.get('edge_count', 0)} edges.", "",
+            *section("Modules", [f"`{r['module']}/`: {r['description']}" for r in rows["module_map"]], more["module_map"]),
+            *section("Entry points", [f"`{r['file_path']}`: `{r['signature'] or r['name']}`" for r in rows["entry_points"]], more["entry_points"]),
+            *section("Flows", [f"{r['name']}: {flow(r['node_ids'])}" for r in rows["key_flows"]]),
+            *section("Patterns", [f"{r['pattern']} ({r['total']}): {', '.join(map(short, r['shown']))}" for r in sorted(rows["patterns"], key=lambda r: r["pattern"])]),
+            *section("Hotspots of 30 days", [f"`{r['file_path']}`: {r['commits_30d']} commits, mostly {r['primary_author']}, {r['author_count']} authors" for r in rows["hotspots"]], more["hotspots"]),
+            *section("Fragile zones", [f"`{n['file_path']}`: `{n['name']}`, importance {r['importance']:.1f}, {hazards(r)}" for n, r in fragile]),
+            *section("Files that change together", [f"`{r['file_a']}` and `{r['file_b']}`: {r['co_commit_count']} commits, {r['coupling_score']:.0%}" for r in rows["couplings"]]),
+        ])
+
     def viz(self, max_nodes: int = 1000) -> dict[str, DataFrame]:
         """The export's parts."""
         kept = stash(composites.viz_nodes(self.nodes, max_nodes), "viz-nodes")

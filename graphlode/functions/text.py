@@ -138,7 +138,7 @@ def category(path: Column) -> Column:
 def category_of_tags(tags: Column) -> Column:
     """What the first tag category:<x> says, in lower case; empty without one."""
     found = F.filter(tags, lambda t: t.startswith("category:"))
-    return F.coalesce(F.lower(F.substring(F.get(found, F.lit(0)), 10, 1000)), F.lit(""))
+    return F.coalesce(F.lower(F.substr(F.get(found, F.lit(0)), F.lit(10))), F.lit(""))
 
 
 def module_of(path: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from graphlode.functions import text as tx
 from graphlode.operators import graph
+from graphlode.storage import stash
 
 FRAMEWORKS = {k.lower(): k for k in ("FastAPI", "Flask", "Django", "asyncio", "WebSockets", "React", "Express", "SQLAlchemy", "Pydantic", "pytest")} | {"torch": "PyTorch", "tensorflow": "TensorFlow"}
 
@@ -28,8 +29,9 @@ def _warning(df: DataFrame, kind: str, confidence: str, evidence: Column) -> Dat
 
 def _common(nodes: DataFrame, edges: DataFrame, stats: DataFrame, conflicts: DataFrame, patterns: DataFrame) -> DataFrame:
     callers = _callers(edges).where("callers >= 5")
-    churn = stats.select("file_path", "commits_7d", "author_count")
-    filed = nodes.select("id", "file_path").join(churn, "file_path")
+    # Files without a hazard, most of them, are out before they meet nodes; each join with nodes is done once.
+    churn = stats.select("file_path", "commits_7d", "author_count").where("commits_7d >= 3 OR author_count >= 3")
+    filed = stash(nodes.select("id", "file_path").join(churn, "file_path"), "churn")
     out = _warning(nodes.select("id").join(callers, "id"), "HIGH_IMPACT", "high", F.col("callers"))
     out = out.unionByName(_warning(nodes.select("id").join(conflicts.select(F.col("function_id").alias("id")), "id", "left_semi"), "CONTRACT_CONFLICT", "high", F.lit("")))
     out = out.unionByName(_warning(filed.where("commits_7d >= 3"), "ACTIVE_CHURN", "high", F.col("commits_7d")))

@@ -53,6 +53,17 @@ def flow_paths(entries: DataFrame, calls: DataFrame, max_depth: int = 8, max_pat
     return open_.select("entry", F.posexplode("done").alias("n", "path"))
 
 
+def nav_flows(entries: DataFrame, calls: DataFrame, most: int = 3, overlap: float = 0.8) -> DataFrame:
+    """(group, n, path): for each group's entries (group, id, rank) in order, the first path of calls of 4 nodes at most, but
+    `most` in all and none that shares more than `overlap` of the longer one's nodes with a path before it."""
+    paths = flow_paths(entries.select("id").distinct(), calls, max_depth=4, max_paths=1).where(F.size("path") >= 2)
+    ranked = entries.join(paths.select(F.col("entry").alias("id"), "path"), "id").groupBy("group").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "path"))).alias("all"))
+    # Entries are the answer of a query, so a group is small.
+    like = f"exists(acc, g -> size(array_intersect(g, x.path)) / greatest(size(g), size(x.path)) > {overlap})"
+    kept = F.expr(f"aggregate(all, cast(array() AS array<array<string>>), (acc, x) -> IF(size(acc) >= {most} OR {like}, acc, concat(acc, array(x.path))))")
+    return ranked.select("group", F.posexplode(kept).alias("n", "path"))
+
+
 def concept_flows(entries: DataFrame, calls: DataFrame) -> DataFrame:
     """concept_paths rows of flow_paths()."""
     p = flow_paths(entries, calls)

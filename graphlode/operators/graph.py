@@ -1,9 +1,10 @@
 """Traversal of typed edges: a level loop of joins, one frontier after the other.
 
 An edge table is (source_id, target_id, edge_type, confidence). Each level is one equi-join of the frontier with the edges,
-one aggregation that keeps the smallest parent of each new node, and an anti-join with what has been visited; a checkpoint in
-the shared folder ends it, so lineage doesn't grow and lost executors cost nothing. The frontier is broadcast only while it is
-counted to be small; beyond that both sides shuffle on the node.
+one aggregation that keeps the smallest parent of each new node, and an anti-join with what has been visited; a table in
+the shared folder ends it, so lineage doesn't grow and lost executors cost nothing. Its rows are counted once, to see whether
+the search goes on and whether the next frontier may be broadcast; beyond that both sides shuffle on the node. Edges are read
+at every level, so they should be a stored table.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from graphlode.schema import REVERSE
-from graphlode.storage import broadcast_if_small, cut
+from graphlode.storage import broadcast_if_small, cut, hinted
 
 #: Bytes a frontier row is taken to have.
 ROW = 100
@@ -45,12 +46,14 @@ def bfs_levels(pairs: DataFrame, seeds: DataFrame, max_hops: int) -> DataFrame:
     parent is the smallest id one hop nearer. Each root's search is its own; all go level by level together.
     """
     seeds = cut(seeds.select("root", "id").distinct())
+    found = seeds.count()
     frontier, visited, levels = seeds, seeds, [seeds.select("root", "id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"))]
     hop = pairs.select(F.col("source_id").alias("id"), F.col("target_id").alias("next"))
     for depth in range(1, max_hops + 1):
-        met = hop.join(broadcast_if_small(frontier, ROW), "id").groupBy("root", F.col("next").alias("id")).agg(F.min("id").alias("parent"))
+        met = hop.join(hinted(frontier, found, ROW), "id").groupBy("root", F.col("next").alias("id")).agg(F.min("id").alias("parent"))
         new = cut(met.join(visited, ["root", "id"], "left_anti"))
-        if new.isEmpty():
+        found = new.count()
+        if not found:
             break
         levels.append(new.select("root", "id", F.lit(depth).alias("depth"), "parent"))
         frontier = new.select("root", "id")
@@ -67,15 +70,15 @@ def shortest_path(pairs: DataFrame, source: str, target: str, max_depth: int) ->
     frontier = spark.createDataFrame([(source, [source])], "id string, path array<string>")
     if source != target:
         hop = pairs.select(F.col("source_id").alias("id"), F.col("target_id").alias("next"))
-        visited, found = frontier.select("id"), None
+        visited, n = frontier.select("id"), 1
         for _ in range(max_depth):
-            met = hop.join(broadcast_if_small(frontier, 8 * ROW), "id").groupBy("next").agg(F.min("path").alias("path"))
+            met = hop.join(hinted(frontier, n, 8 * ROW), "id").groupBy("next").agg(F.min("path").alias("path"))
             frontier = cut(met.select(F.col("next").alias("id"), F.concat("path", F.array("next")).alias("path")).join(visited, "id", "left_anti"))
-            found = frontier.where(F.col("id") == target)
-            if not found.isEmpty() or frontier.isEmpty():
+            n, there = frontier.agg(F.count("*"), F.coalesce(F.max(F.col("id") == target), F.lit(False))).first()
+            if there or not n:
                 break
             visited = visited.unionByName(frontier.select("id"))
-        frontier = found if found is not None else frontier.limit(0)
+        frontier = frontier.where(F.col("id") == target)
     return frontier.select(F.posexplode("path").alias("pos", "id"))
 
 
@@ -84,6 +87,11 @@ def trace(edges: DataFrame, source: str, target: str, max_depth: int = 8) -> Dat
     certain = shortest_path(steps(strict(edges), ["calls"]), source, target, max_depth)
     if not certain.isEmpty():
         return certain.withColumn("resolution", F.lit("calls_only"))
+    return trace_via_inheritance(edges, source, target, max_depth)
+
+
+def trace_via_inheritance(edges: DataFrame, source: str, target: str, max_depth: int = 8) -> DataFrame:
+    """(pos, id, resolution): the path over calls, doubtful ones too, inheritance and dispatch either way."""
     soft = steps(edges, ["calls", "inherits", "dispatches_to"], ["inherits", "dispatches_to"])
     return shortest_path(soft, source, target, max_depth).withColumn("resolution", F.lit("soft"))
 

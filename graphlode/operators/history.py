@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss"
 LEAST_FILES, MOST_FILES = 2, 15
+#: Commits that a pair of files shows, and parts that a pair's commits are ordered in.
+SHOWN, PARTS = 20, 32
 
 
 def file_stats(commits: DataFrame, as_of: str) -> DataFrame:
@@ -24,17 +26,22 @@ def file_stats(commits: DataFrame, as_of: str) -> DataFrame:
     )
 
 
-def cochanges(commits: DataFrame, min_count: int = 2, min_coupling: float = 0.2) -> DataFrame:
+def cochanges(commits: DataFrame, min_count: int = 2, min_coupling: float = 0.2, most_files: int = MOST_FILES) -> DataFrame:
     """Pairs of files with the number of common commits, either file's total, the last date, the score and up to 20 commits.
 
-    Pairs come from commits of 2 to 15 files, totals from all commits; the score is the count through the larger total. The
-    pairs of a commit are made inside its row, at most 105 of them, so nothing but pairs is shuffled.
+    Pairs come from commits of 2 to most_files files, as larger ones tell nothing of any pair; totals come from all commits;
+    the score is the count through the larger total. The pairs of a commit are made inside its row, 105 by default at
+    most, so nothing but pairs is shuffled.
     """
     files = commits.select("hash", "date", F.array_sort(F.array_distinct("files")).alias("files"))
     total = files.select(F.explode("files").alias("file")).groupBy("file").agg(F.count("*").alias("total"))
-    few = files.where(F.size("files").between(LEAST_FILES, MOST_FILES))
-    pairs = few.select("hash", "date", F.posexplode("files").alias("i", "file_a"), "files").select("hash", "date", "file_a", F.explode(F.expr("slice(files, i + 2, 15)")).alias("file_b"))
-    met = pairs.groupBy("file_a", "file_b").agg(F.count("*").alias("co_commit_count"), F.max("date").alias("last"), F.slice(F.sort_array(F.collect_list(F.struct("date", "hash"))), 1, 20).alias("ids")).where(F.col("co_commit_count") >= min_count)
+    few = files.where(F.size("files").between(LEAST_FILES, most_files))
+    pairs = few.select("hash", "date", F.posexplode("files").alias("i", "file_a"), "files").select("hash", "date", "file_a", F.explode(F.expr(f"slice(files, i + 2, {most_files})")).alias("file_b"))
+    # No list has more than SHOWN commits of a part of a pair's: a pair may be in a third of all commits.
+    parted = pairs.withColumn("part", F.pmod(F.xxhash64("hash"), F.lit(PARTS)))
+    first = F.row_number().over(Window.partitionBy("file_a", "file_b", "part").orderBy(F.col("date").asc_nulls_first(), "hash"))
+    few_each = parted.withColumn("place", first).groupBy("file_a", "file_b", "part").agg(F.count("*").alias("n"), F.max("date").alias("last"), F.collect_list(F.when(F.col("place") <= SHOWN, F.struct("date", "hash"))).alias("ids"))
+    met = few_each.groupBy("file_a", "file_b").agg(F.sum("n").alias("co_commit_count"), F.max("last").alias("last"), F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, SHOWN).alias("ids")).where(F.col("co_commit_count") >= min_count)
     both = met.join(total.select(F.col("file").alias("file_a"), F.col("total").alias("total_commits_a")), "file_a").join(total.select(F.col("file").alias("file_b"), F.col("total").alias("total_commits_b")), "file_b")
     score = F.col("co_commit_count") / F.greatest("total_commits_a", "total_commits_b")
     return both.where(score >= min_coupling).select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from graphlode.functions import text as tx
 
@@ -88,4 +88,14 @@ def detect(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def grouped(found: DataFrame, shown: int = 3) -> DataFrame:
     """(pattern, total, shown): the pattern's count and its first node ids."""
-    return found.groupBy("pattern").agg(F.count("*").alias("total"), F.slice(F.array_sort(F.collect_list("node_id")), 1, shown).alias("shown"))
+    total = found.groupBy("pattern").agg(F.count("*").alias("total"))
+    # The first few of each part, then of all parts: no list grows with the number of findings.
+    part = F.pmod(F.xxhash64("node_id"), F.lit(32))
+    place = F.row_number().over(Window.partitionBy("pattern", "part").orderBy("node_id"))
+    first = found.select("pattern", "node_id", part.alias("part")).withColumn("place", place).where(F.col("place") <= shown)
+    return total.join(first.groupBy("pattern").agg(F.slice(F.array_sort(F.collect_list("node_id")), 1, shown).alias("shown")), "pattern")
+
+
+def counts(found: DataFrame) -> DataFrame:
+    """(pattern, n) of what the detectors found."""
+    return found.groupBy("pattern").agg(F.count("*").alias("n"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from graphlode.functions import text as tx
-from graphlode.storage import broadcast_if_small, cut
+from graphlode.functions.prefix import ordinals
+from graphlode.storage import cut
 
 WEIGHTS = dict(calls=2.0, imports=0.5, inherits=1.5, instantiates=1.0)
 
@@ -38,20 +39,14 @@ def importance(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def importance_rank(scores: DataFrame) -> DataFrame:
-    """(id, importance, importance_rank): the ordinal percentile 0 .. 100 by score, then id.
+    """(id, importance, importance_rank): the ordinal percentile 0 .. 100 by score, then id; ids are distinct.
 
-    Ordinals over all rows without one task that sorts them: rows of equal score are counted first, and only the distinct
-    scores, far fewer than nodes, are summed up in order; ties are ranked inside their score.
+    Ordinals come from ranges of (score, id), so that neither all rows nor all of one score are sorted in one task.
     """
-    scores = cut(scores)  # read three times
-    per = scores.groupBy("importance").agg(F.count("*").alias("c"))
-    n = per.agg(F.sum("c")).first()[0] or 0
-    below = F.sum("c").over(Window.partitionBy(F.lit(1)).orderBy("importance").rowsBetween(Window.unboundedPreceding, -1))
-    per = per.select("importance", F.coalesce(below, F.lit(0)).alias("below"))
-    place = F.row_number().over(Window.partitionBy("importance").orderBy("id"))
-    ranked = scores.withColumn("i", place - 1).join(broadcast_if_small(per, 16), "importance")
-    share = (F.col("below") + F.col("i")) / F.lit(max(1, n - 1)) * 100
-    return ranked.select("id", "importance", F.bround(share).cast("int").alias("importance_rank"))
+    scores = cut(scores)
+    n = scores.count()
+    share = F.col("i") / F.lit(max(1, n - 1)) * 100
+    return ordinals(scores, ["importance", "id"], "i").select("id", "importance", F.bround(share).cast("int").alias("importance_rank"))
 
 
 def scored_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:

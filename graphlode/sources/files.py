@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from graphlode.functions import text as tx
 
 IGNORE_FILE = ".graphlodeignore"
+#: Bytes up to which a file is taken for source code by default.
 LARGEST = 500 * 1024
 PRUNED_DIRS = """.bundle .egg-info .eggs .git .gradle .graphlode .idea .mvn .mypy_cache .nyc_output .pytest_cache .tox .venv .vs
 .vscode 3rdparty Debug Release __pycache__ bench benchmark benchmarks bin build coverage dist env example examples fixtures
@@ -67,7 +68,7 @@ def ignore_patterns(root: str) -> list[str]:
 
 
 def walk(root: str) -> Iterator[tuple[str, int, float]]:
-    """(relative path, length, modified) of the files of up to 500 KiB, without going into pruned directories."""
+    """(relative path, length, modified) of the files, without going into pruned directories."""
     fs, base = _open(root)
     todo = [""]
     while todo:
@@ -76,19 +77,30 @@ def walk(root: str) -> Iterator[tuple[str, int, float]]:
             rel = f"{at}/{x.base_name}" if at else x.base_name
             if x.type == pafs.FileType.Directory and x.base_name not in PRUNED_DIRS and not x.base_name.endswith(".egg-info"):
                 todo.append(rel)
-            elif x.type == pafs.FileType.File and x.size <= LARGEST:
+            elif x.type == pafs.FileType.File:
                 yield rel, x.size, x.mtime.timestamp() if x.mtime else 0.0
 
 
-def scan(spark: SparkSession, root: str, ignore: list[str] | None = None, endings: list[str] | None = None) -> DataFrame:
-    """(file_path, content, length, modified) of the tree's source files, paths relative to root.
+def listed(spark: SparkSession, root: str, ignore: list[str] | None = None, endings: list[str] | None = None) -> DataFrame:
+    """(file_path, length, modified) of the tree's source files of any length."""
+    rules = ignore_patterns(root) if ignore is None else ignore
+    names = spark.createDataFrame(list(walk(root)), "file_path string, length long, modified double")
+    return names.where(scannable(F.col("file_path"), rules, endings))
+
+
+def too_large(spark: SparkSession, root: str, ignore: list[str] | None = None, endings: list[str] | None = None, largest: int | None = LARGEST) -> DataFrame:
+    """(file_path, length, modified) of the source files that scan() with the same parameters leaves out for their length."""
+    return listed(spark, root, ignore, endings).where(F.lit(False) if largest is None else F.col("length") > largest)
+
+
+def scan(spark: SparkSession, root: str, ignore: list[str] | None = None, endings: list[str] | None = None, largest: int | None = LARGEST) -> DataFrame:
+    """(file_path, content, length, modified) of the tree's source files of up to `largest` bytes (None: all), paths relative
+    to root; too_large() tells the others.
 
     The driver lists names only; they are filtered as a DataFrame and the files are read by the tasks. root must be where all
     executors can read it.
     """
-    rules = ignore_patterns(root) if ignore is None else ignore
-    listed = spark.createDataFrame(list(walk(root)), "file_path string, length long, modified double")
-    kept = listed.where(scannable(F.col("file_path"), rules, endings)).repartition("file_path")
+    kept = listed(spark, root, ignore, endings).where(F.lit(True) if largest is None else F.col("length") <= largest).repartition("file_path")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _open(root)

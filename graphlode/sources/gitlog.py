@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import subprocess
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -12,12 +13,16 @@ COMMITS, TIMEOUT = 1000, 30
 LINES = "log string, n long, line string"
 
 
-def git_lines(root: str, commits: int = COMMITS) -> list[str]:
-    """The last commits with their files; none outside a repository or without git."""
+def git_lines(root: str, commits: int = COMMITS, timeout: float = TIMEOUT) -> list[str]:
+    """The last commits with their files; none outside a repository or without git. If git takes more than `timeout`
+    seconds there are none either, and a warning."""
     command = ["git", "-C", root, "log", "--name-only", f"-{commits}", "--no-merges", "--pretty=format:COMMIT|%H|%an <%ae>|%aI"]
     try:
-        done = subprocess.run(command, check=False, timeout=TIMEOUT, errors="replace", encoding="utf-8", capture_output=True)
-    except (OSError, subprocess.TimeoutExpired):
+        done = subprocess.run(command, check=False, timeout=timeout, errors="replace", encoding="utf-8", capture_output=True)
+    except OSError:
+        return []
+    except subprocess.TimeoutExpired:
+        warnings.warn(f"git log took more than {timeout} seconds: {root} is treated as without history", stacklevel=2)
         return []
     return done.stdout.splitlines() if done.returncode == 0 else []
 

@@ -68,5 +68,5 @@ def imports_of(parsed: DataFrame) -> DataFrame:
 def bases_of(nodes: DataFrame) -> DataFrame:
     """(id, name, file_path, bases) of the classes; brackets in a base don't part it."""
     held = F.filter("tags", lambda t: t.startswith("extends:"))
-    joined = F.array_join(F.transform(held, lambda t: F.regexp_replace(F.substring(t, 9, 100000), r"\[[^\]]*\]", "")), ",")
+    joined = F.array_join(F.transform(held, lambda t: F.regexp_replace(F.substr(t, F.lit(9)), r"\[[^\]]*\]", "")), ",")
     return nodes.where("kind = 'class'").select("id", "name", "file_path", F.filter(F.transform(F.split(joined, ","), F.trim), lambda b: b != "").alias("bases"))

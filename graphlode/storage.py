@@ -54,15 +54,19 @@ def stash(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df.checkpoint() after making sure that there is a shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df as a stored table, for loops: unlike an eager checkpoint(), which runs the last stage twice, it is made once."""
+    return stash(df, "cut")
+
+
+def hinted(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """broadcast_if_small() of a df whose rows have been counted."""
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if counting shows that it fits, else df itself (a shuffled join follows).
 
-    The count stops at the first row beyond the limit, so it costs the same on any size.
+    The count stops at the first row beyond the limit, but runs what df is made of: df should be a stored table or cheap.
     """
     most = limit // row_bytes
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

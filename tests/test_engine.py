@@ -171,3 +171,63 @@ def test_hash_diff(spark):
     old = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], "file_path string, content_hash string")
     new = spark.createDataFrame([("a", "1"), ("b", "2"), ("d", "1")], "file_path string, content_hash string")
     assert {tuple(r) for r in content.hash_diff(old, new).collect()} == {("b", "changed"), ("c", "deleted"), ("d", "new")}
+
+
+def test_trace_options(engine):
+    path = engine.trace("handler", "compute_tax", root=str(engine.root))
+    rows = path.collect()
+    assert [r.pos for r in rows] == list(range(len(rows))) and "def handler" in rows[0].source and "def compute_tax" in rows[-1].source
+    assert {r.resolution for r in engine.trace("handler", "compute_tax", via_inheritance=True).collect()} == {"soft"}
+    with pytest.raises(ValueError, match="exclude"):
+        engine.trace("handler", "compute_tax", calls_only=True, via_inheritance=True)
+
+
+def test_briefing_as_markdown(engine):
+    text = engine.briefing_markdown("shop")
+    assert text.startswith("# shop\n") and "Python" in text and "## Entry points" in text and "- `shop/store.py`" in text
+    assert "## Files that change together" in text and "- `shop/models.py` and `shop/store.py`: 3 commits, 100%" in text
+
+
+def test_update_parses_changed_files_only(spark, tmp_path, monkeypatch):
+    from graphlode import api
+
+    root, store = tmp_path / "tree", tmp_path / "store"
+    (root / "a").mkdir(parents=True)
+    for i in range(4):
+        (root / "a" / f"m{i}.py").write_text(f"def f{i}():\n    return {i}\n")
+    commits = spark.createDataFrame([], "hash string, author string, date timestamp_ntz, files array<string>")
+    e = Engine(spark, str(store), "2024-01-31 00:00:00")
+    e.build(str(root), commits)
+    seen = []
+    real = api.parse.parse
+    monkeypatch.setattr(api.parse, "parse", lambda files: seen.extend(r.file_path for r in files.select("file_path").collect()) or real(files))
+    (root / "a" / "m1.py").write_text("def g():\n    return f0()\n")
+    (root / "a" / "m2.py").unlink()
+    plan = {r.file_path: r.status for r in e.update(str(root), commits).collect()}
+    assert plan == {"a/m1.py": "changed", "a/m2.py": "deleted"} and seen == ["a/m1.py"]
+    assert {r.id for r in e.nodes.where("kind = 'function'").collect()} == {"a/m0.py::f0", "a/m1.py::g", "a/m3.py::f3"}
+    assert e.edges.where("edge_type = 'calls'").select("source_id", "target_id").collect() == [("a/m1.py::g", "a/m0.py::f0")]
+    assert e.update(str(root), commits).collect() == []
+
+
+def test_store_keeps_a_table_at_every_step(spark, tmp_path):
+    from graphlode.sources.store import Store
+
+    store = Store(spark, str(tmp_path / "s"))
+    for i in range(4):
+        before = store.read("meta")
+        store.write("meta", spark.createDataFrame([("k", str(i))], "key string, value string"))
+        assert [r.value for r in before.collect()] == ([str(i - 1)] if i else [])  # a reader of the version before goes on
+        assert store.read("meta").collect() == [("k", str(i))]
+    (tmp_path / "s" / "meta" / ("f" * 32)).mkdir()  # a write that failed before its pointer
+    assert store.read("meta").collect() == [("k", "3")]
+
+
+def test_large_files_are_reported(spark, tmp_path):
+    from graphlode.sources import files
+
+    (tmp_path / "big.py").write_text("x = 1\n" * 200)
+    (tmp_path / "small.py").write_text("y = 1\n")
+    assert [r.file_path for r in files.scan(spark, str(tmp_path), largest=100).collect()] == ["small.py"]
+    assert [r.file_path for r in files.too_large(spark, str(tmp_path), largest=100).collect()] == ["big.py"]
+    assert files.scan(spark, str(tmp_path), largest=None).count() == 2
