@@ -122,35 +122,42 @@ def op1_winnowing(spark, sf_dir: str) -> DataFrame:
 
 def _sql(k: int = K, window: int = WINDOW) -> str:
     base = 0x9E3779B97F4A7C15
-    terms = " + ".join(f"{pow(base, k - 1 - j, 1 << 64)}::UHUGEINT * lead(c, {j}) OVER w" for j in range(k))
+    inverse = pow(base, -1, 1 << 64)
     m64 = "18446744073709551616::UHUGEINT"
 
     def xorshift(x: str, s: int) -> str:
         return f"xor({x}, {x} // {1 << s}::UHUGEINT)"
 
+    def power(b: int) -> str:
+        out = "1::UHUGEINT"
+        for bit in range(24):
+            out = f"{out} * (CASE WHEN m & {1 << bit} > 0 THEN {pow(b, 1 << bit, 1 << 64)}::UHUGEINT ELSE 1::UHUGEINT END) % {m64}"
+            out = f"({out})"
+        return out
+
     return f"""
-WITH chars AS (
+WITH chars AS MATERIALIZED (
   SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) - 1 AS pos
   FROM documents
-), letters AS (
-  SELECT doc_id, pos, unicode(lower(ch))::UHUGEINT AS c,
-         row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, count(*) OVER (PARTITION BY doc_id) AS n
+), letters AS MATERIALIZED (
+  SELECT doc_id, pos, unicode(lower(ch)) AS c, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, count(*) OVER (PARTITION BY doc_id) AS n
   FROM chars WHERE regexp_full_match(ch, '[\\p{{L}}\\p{{N}}]')
-), poly AS (
-  SELECT doc_id, pos, i, n, ({terms}) % {m64} AS h0 FROM letters WINDOW w AS (PARTITION BY doc_id ORDER BY i)
-), m1 AS (SELECT doc_id, pos, i, n, ({xorshift('h0', 30)} * {0xBF58476D1CE4E5B9}::UHUGEINT) % {m64} AS h1 FROM poly WHERE i <= n - {k - 1}
+), powers AS MATERIALIZED (
+  SELECT m, {power(base)} AS up, {power(inverse)} AS down FROM range((SELECT coalesce(max(n), 0) + {k + 1} FROM letters)) x(m)
+), sums AS (  -- c(i) B^(k-1) + .. + c(i+k-1) is B^(i+k-1) times the sum of c(m) B^-m, m from i to i+k-1
+  SELECT doc_id, pos, i, n, sum((c::UHUGEINT * down % {m64})::HUGEINT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {k - 1} FOLLOWING) AS s
+  FROM letters JOIN powers ON m = i
+), poly AS (SELECT doc_id, pos, i, n, (s::UHUGEINT % {m64}) * up % {m64} AS h0 FROM sums JOIN powers ON m = i + {k - 1} WHERE i <= n - {k - 1}
+), m1 AS (SELECT doc_id, pos, i, n, ({xorshift('h0', 30)} * {0xBF58476D1CE4E5B9}::UHUGEINT) % {m64} AS h1 FROM poly
 ), m2 AS (SELECT doc_id, pos, i, n, ({xorshift('h1', 27)} * {0x94D049BB133111EB}::UHUGEINT) % {m64} AS h2 FROM m1
-), grams AS (SELECT doc_id, pos, i, n - {k - 1} AS grams, {xorshift('h2', 31)} AS h FROM m2
-), best AS (
-  SELECT doc_id, i, grams, min(h * 1099511627776::UHUGEINT + (1099511627775 - i)::UHUGEINT)
-           OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {window - 1} FOLLOWING) AS b
+), grams AS MATERIALIZED (SELECT doc_id, pos, i, n - {k - 1} AS grams, ({xorshift('h2', 31)})::UBIGINT AS h FROM m2
+), best AS (  -- the smallest of a window, the rightmost of equal ones
+  SELECT doc_id, i, grams, min((h::HUGEINT * 16777216) + (16777215 - i)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {window - 1} FOLLOWING) AS b
   FROM grams
 ), chosen AS (
-  SELECT DISTINCT doc_id, 1099511627775 - (b % 1099511627776::UHUGEINT)::BIGINT AS i
-  FROM best WHERE i <= greatest(grams - {window - 1}, 1)
+  SELECT DISTINCT doc_id, 16777215 - (b % 16777216)::BIGINT AS i FROM best WHERE i <= greatest(grams - {window - 1}, 1)
 )
-SELECT g.doc_id, g.pos::BIGINT AS pos,
-       (CASE WHEN g.h >= 9223372036854775808::UHUGEINT THEN g.h::HUGEINT - 18446744073709551616::HUGEINT ELSE g.h::HUGEINT END)::BIGINT AS hash
+SELECT g.doc_id, g.pos::BIGINT AS pos, (CASE WHEN g.h >= 9223372036854775808 THEN g.h::HUGEINT - 18446744073709551616 ELSE g.h::HUGEINT END)::BIGINT AS hash
 FROM chosen c JOIN grams g ON g.doc_id = c.doc_id AND g.i = c.i"""
 
 
