@@ -120,6 +120,48 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return narrow.mapInArrow(run, "doc_id long, lang string, margin double, n_grams long")
 
 
+def _sql() -> str:
+    base, m64 = 0x9E3779B97F4A7C15, "18446744073709551616::UHUGEINT"
+
+    def shifted(x: str, s: int) -> str:
+        return f"xor({x}, {x} // {1 << s}::UHUGEINT)"
+
+    return f"""
+WITH chars AS MATERIALIZED (
+  SELECT doc_id, pos, CASE WHEN regexp_full_match(ch, '[\\p{{L}}\\p{{N}}]') THEN unicode(lower(ch)) ELSE 32 END AS x
+  FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS pos FROM documents WHERE text <> '')
+), three AS (SELECT doc_id, x AS a, lead(x) OVER w AS b, lead(x, 2) OVER w AS c FROM chars WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+), grams AS MATERIALIZED (
+  SELECT doc_id, a, -1 AS b, -1 AS c, count(*) AS n FROM three GROUP BY ALL
+  UNION ALL SELECT doc_id, a, b, -1, count(*) FROM three WHERE b IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT doc_id, a, b, c, count(*) FROM three WHERE c IS NOT NULL GROUP BY ALL
+), poly AS (
+  SELECT a, b, c, (CASE WHEN b < 0 THEN a::UHUGEINT WHEN c < 0 THEN a::UHUGEINT * {base}::UHUGEINT + b::UHUGEINT
+         ELSE a::UHUGEINT * {base**2 % (1 << 64)}::UHUGEINT + b::UHUGEINT * {base}::UHUGEINT + c::UHUGEINT END) % {m64} AS h0
+  FROM (SELECT DISTINCT a, b, c FROM grams)
+), m1 AS (SELECT a, b, c, ({shifted('h0', 30)} * {0xBF58476D1CE4E5B9}::UHUGEINT) % {m64} AS h1 FROM poly
+), m2 AS (SELECT a, b, c, ({shifted('h1', 27)} * {0x94D049BB133111EB}::UHUGEINT) % {m64} AS h2 FROM m1
+), hashed AS MATERIALIZED (SELECT a, b, c, ({shifted('h2', 31)} // {1 << (64 - BITS)}::UHUGEINT)::BIGINT AS bucket FROM m2
+), counted AS MATERIALIZED (SELECT doc_id, bucket, sum(n)::BIGINT AS n FROM grams JOIN hashed USING (a, b, c) GROUP BY ALL
+), known AS (SELECT lang, count(*) AS rows, ln(count(*)::DOUBLE / sum(count(*)) OVER ()) AS prior FROM documents WHERE lang <> '' AND text IS NOT NULL GROUP BY lang
+), fitted AS (SELECT lang, bucket, sum(n) AS n FROM counted JOIN documents USING (doc_id) WHERE lang <> '' GROUP BY ALL
+), total AS (SELECT lang, sum(n)::DOUBLE + {ALPHA} * {BUCKETS} AS total FROM fitted GROUP BY lang
+), weights AS (
+  SELECT k.lang, b.bucket, ln((coalesce(f.n, 0)::DOUBLE + {ALPHA}) / total)::FLOAT::DOUBLE AS w
+  FROM total k CROSS JOIN (SELECT DISTINCT bucket FROM counted) b LEFT JOIN fitted f ON f.lang = k.lang AND f.bucket = b.bucket
+), scores AS (
+  SELECT doc_id, c.lang, sum(n * w) + any_value(prior) AS score, sum(n)::BIGINT AS n
+  FROM (SELECT doc_id, bucket, n, lang, w FROM counted JOIN weights USING (bucket)) c JOIN known USING (lang) GROUP BY doc_id, c.lang
+), placed AS (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS second FROM scores WINDOW w AS (PARTITION BY doc_id ORDER BY score DESC, lang)
+)
+SELECT d.doc_id, coalesce(p.lang, '{UNKNOWN}') AS lang, coalesce(round_even((score - second) / n, 6), 0)::DOUBLE AS margin, coalesce(n, 0)::BIGINT AS n_grams
+FROM documents d LEFT JOIN placed p ON p.doc_id = d.doc_id AND place = 1"""
+
+
+#: Holds where every labelled row is fitted on: up to MAX_ROWS rows a language.
+SQL = _sql()
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return identify(docs, fit(docs))

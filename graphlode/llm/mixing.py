@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from graphlode.llm.prefix import running
+from graphlode.functions.prefix import running
 from graphlode.storage import broadcast_if_small, stash
 
 BLOCK_TOKENS = 1 << 15

@@ -20,6 +20,7 @@ ORACLES = {
     "op10_warc_transactions": warc.SQL,
     "op6_substrings": substrings.SQL,
     "op5_sharding": sharding.SQL,
+    "op4_langid": langid.SQL,
     "op7_mixing": mixing.SQL,
     "op2_decontamination": decontaminate.SQL,
     "op1_winnowing": fingerprints.SQL,

@@ -14,7 +14,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from graphlode.llm.prefix import running
+from graphlode.functions.prefix import running
 from graphlode.storage import broadcast_if_small, stash
 
 CAPACITY = 16 << 20

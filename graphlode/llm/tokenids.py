@@ -3,6 +3,9 @@
 Texts are tokenised with a public byte-level BPE vocabulary (a file; never trained here). Ids are then renumbered by how
 often they occur in the corpus, so that the frequent ones take one byte. Four ids share a control byte of four 2-bit
 lengths; the ids' bytes follow apart, little-endian, without their upper zeros. Decoding looks control bytes up in tables.
+The order of the ranks is coded the same way and comes with the rows, so these can be decoded by themselves.
+
+The vocabulary's file must be at the same path on every executor.
 """
 
 from __future__ import annotations
@@ -56,7 +59,9 @@ def encode(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The n values of one list."""
+    """The n values of one list; none of nulls."""
+    if control is None or data is None:
+        return np.zeros(0, np.uint32)
     c = np.frombuffer(control, dtype=np.uint8)
     d = np.zeros(len(data) + 4 * 4, dtype=np.uint32)
     d[: len(data)] = np.frombuffer(data, dtype=np.uint8)
@@ -70,7 +75,10 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 def raw_ids(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """(doc_id, n, ids): the vocabulary's ids as packed unsigned integers of 2 bytes, or 4 if it has more than 65,536; stored."""
+    """(doc_id, n, ids): the vocabulary's ids as packed unsigned integers of 2 bytes, or 4 if it has more than 65,536; stored.
+
+    Null and empty texts have no ids; a null doc_id stays null.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path)
@@ -123,7 +131,7 @@ def rank_order(counts: DataFrame) -> np.ndarray:
 
 
 def coded(raw: DataFrame, order: np.ndarray) -> DataFrame:
-    """(doc_id, n, control, data) of stored raw ids."""
+    """(doc_id, n, control, data) of stored raw ids; no ids have no bytes."""
     rank = np.zeros(int(order.max()) + 1 if len(order) else 1, dtype=np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
 
@@ -143,14 +151,42 @@ def coded(raw: DataFrame, order: np.ndarray) -> DataFrame:
 
 
 def token_ids(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """One row (doc_id, n, control, data) for each row of docs.
+    """One row (doc_id, part, n, control, data) for each row of docs, of part "ids", and one of part "ranks".
 
     n is the number of ids. Null and empty texts have n = 0 and no bytes. Repeated rows are coded each, a null doc_id stays
-    null, an empty table gives no row. Ids are ranks in the frequencies of this very table, equal frequencies by the
-    vocabulary's id; rank_order() gives the way back. Columns other than doc_id and text are not read.
+    null; a table without any token has no "ranks", and an empty one gives no row. Ids are ranks in the frequencies of this
+    very table, equal frequencies by the vocabulary's id; the row "ranks", whose doc_id is null, has the vocabulary's ids in
+    that order. Columns other than doc_id and text are not read.
     """
     raw = raw_ids(docs, path)
-    return coded(raw, rank_order(frequencies(raw)))
+    order = rank_order(frequencies(raw))
+    rows = coded(raw, order).select("doc_id", F.lit("ids").alias("part"), "n", "control", "data")
+    if not len(order):
+        return rows
+    control, _, data, _ = encode(order.astype(np.uint32), np.array([0, len(order)]))
+    ranks = docs.sparkSession.createDataFrame([(None, "ranks", len(order), bytearray(control.tobytes()), bytearray(data.tobytes()))], "doc_id long, part string, n int, control binary, data binary")
+    return rows.unionByName(ranks)
+
+
+def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, ids) with the vocabulary's ids of each row of part "ids" of token_ids(), or (doc_id, text) given its path.
+
+    Rows without ids have an empty list or text. All that is needed is in rows; without a row "ranks" none has ids.
+    """
+    first = rows.where("part = 'ranks'").select("n", "control", "data").first()  # as many ids as the vocabulary has at most
+    order = decode(bytes(first["control"]), bytes(first["data"]), first["n"]).astype(np.int32) if first else np.zeros(0, np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = [order[decode(c, d, n)] if n else order[:0] for n, c, d in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)))]
+            if path is None:
+                out = pa.array(lists, pa.list_(pa.int32()))
+            else:
+                enc = encoding(path)
+                out = pa.array([enc.decode(x.tolist()) for x in lists], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), out], names=["doc_id", "ids" if path is None else "text"])
+
+    return rows.where("part = 'ids'").select("doc_id", "n", "control", "data").mapInArrow(run, "doc_id long, ids array<int>" if path is None else "doc_id long, text string")
 
 
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,7 +179,7 @@ def test_coding_round_trip():
             assert (tokenids.decode(control[c_at[i] : c_at[i + 1]].tobytes(), data[d_at[i] : d_at[i + 1]].tobytes(), len(x)) == x).all()
 
 
-def test_ids_give_back_the_texts(spark):
+def test_ids_give_back_the_texts(spark, tmp_path):
     _, _, rows = texts(5, 20)
     rows += ["", None, "Ünïcode — 😀 text\n\n  x", "the the the"]
     docs = frame(spark, rows)
@@ -188,9 +188,16 @@ def test_ids_give_back_the_texts(spark):
     enc = tokenids.encoding()
     counts = Counter(i for t in rows for i in enc.encode_ordinary(t or ""))
     assert list(order) == sorted(counts, key=lambda i: (-counts[i], i))
-    for x in tokenids.token_ids(docs).collect():
+    coded = tokenids.token_ids(docs)
+    for x in coded.where("part = 'ids'").collect():
         ids = order[tokenids.decode(bytes(x.control), bytes(x.data), x.n)] if x.n else []
         assert enc.decode([int(i) for i in ids]) == (rows[x.doc_id] or "")
+    # From the stored rows alone, after the texts and their frequencies are gone.
+    coded.write.parquet(str(tmp_path / "coded"))
+    stored = spark.read.parquet(str(tmp_path / "coded"))
+    assert {x.doc_id: x.text for x in tokenids.decoded(stored, tokenids.VOCABULARY).collect()} == {i: t or "" for i, t in enumerate(rows)}
+    assert {x.doc_id: x.ids for x in tokenids.decoded(stored).collect()} == {i: enc.encode_ordinary(t or "") for i, t in enumerate(rows)}
+    assert stored.where("part = 'ranks'").count() == 1 and tokenids.decoded(stored.where("n = 0")).count() == 2
 
 
 # -- 4

@@ -87,8 +87,9 @@ def test_matches(spark):
 
 def test_token_ids(spark):
     rows = OPERATORS["token_ids"](spark, odd(spark)).collect()
-    assert len(rows) == 14
+    assert len(rows) == 14 + 1 and [r.doc_id for r in rows if r.part == "ranks"] == [None]
     assert sorted(r.doc_id for r in rows if r.n == 0) == [3, 4]
+    assert tokenids.token_ids(docs(spark, [(1, None, "en", "a", 0)])).select("n").collect() == [(0,)]
 
 
 def test_identify(spark):
