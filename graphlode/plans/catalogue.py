@@ -528,7 +528,7 @@ def _(spark, d):
 _STOP_WORDS = ", ".join(f"'{w}'" for w in sorted(tx.QUERY_STOPS))
 
 
-@query("query_terms", rf"""WITH w AS (SELECT item_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM benchmark),
+@query("query_terms", rf"""WITH w AS (SELECT item_id, unnest(regexp_split_to_array(text, '\s+')) AS w, generate_subscripts(regexp_split_to_array(text, '\s+'), 1) AS i FROM benchmark),
 k AS (SELECT item_id, lower(w) AS w, min(i) AS i FROM w WHERE length(w) >= 2 AND lower(w) NOT IN ({_STOP_WORDS}) GROUP BY item_id, lower(w))
 SELECT item_id, coalesce(string_agg(w, ' ' ORDER BY i), '') AS terms FROM benchmark LEFT JOIN k USING (item_id) GROUP BY item_id""")
 def _(spark, d):
@@ -849,7 +849,7 @@ def _(spark, d):
 
 
 @query("flows_nav", f"""{_CHAINS}, p AS (SELECT a.conv_id, a.turn, string_agg(z.id, ',' ORDER BY z.turn) AS path FROM c a JOIN c z ON z.conv_id = a.conv_id AND z.run = a.run AND z.turn BETWEEN a.turn AND a.turn + 3 GROUP BY a.conv_id, a.turn HAVING count(*) >= 2)
-SELECT conv_id::VARCHAR AS "group", (row_number() OVER w - 1)::INT AS n, path FROM p QUALIFY row_number() OVER w <= 3 WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+SELECT conv_id::VARCHAR AS "group", (row_number() OVER w - 1)::INT AS n, path FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY turn) QUALIFY row_number() OVER w <= 3""")
 def _(spark, d):
     """Each conversation's turns as an answer's symbols: no two of their flows share more than three of four turns."""
     n, e = b.turns(spark, d)
