@@ -1,5 +1,5 @@
 """The other languages' sources to nodes, calls and imports, by lines and braces: no grammar is at hand, so this finds
-definitions, bases, imports and calls by their look, and neither receiver types nor what is done with a result."""
+definitions, bases, imports, calls, what is done with a call's result and declared types of receivers by their look."""
 
 from __future__ import annotations
 
@@ -47,6 +47,46 @@ _RUST_IMPL = _re(r"^\s*(?:unsafe\s+)?impl(?:<[^>]*>)?\s+(?:([\w:]+)(?:<[^>]*>)?\
 _CALL = _re(r"([A-Za-z_][\w.:>-]*?)!?\s*\(")
 _WORDS = {"if", "for", "while", "switch", "catch", "return", "else", "function", "elif", "match", "fn", "func", "def", "new", "sizeof", "typeof", "super", "when", "unless", "until", "throw", "using", "lock", "foreach", "not", "and", "or"}
 _BODIES = ("function", "method")
+#: Declarations by language, as (name, type) groups: a type begins with a capital. Those of parameters too.
+_T = r"([A-Z]\w*)(?:<[^<>]*(?:<[^<>]*>[^<>]*)*>)?"
+_C_LIKE = [rf"\b(?:const\s+)?(?:\w+::)*{_T}(?:\[\])?\??(?:\s*[*&]+\s*|\s+)(?P<n>[a-z_]\w*)\s*(?=[=;,)({{]|$)", rf"\b(?:var|auto)\s*[*&]?\s*(?P<n>\w+)\s*=\s*new\s+(?:\w+::)*{_T}"]
+_COLON = [rf"(?P<n>\w+)\??\s*:\s*(?:&\s*)?(?:mut\s+|dyn\s+)?(?:\w+::)*{_T}"]
+_DECLARED: dict[str, list[re.Pattern]] = {
+    language: [_re(p) for p in patterns]
+    for languages, patterns in (
+        ("javascript typescript tsx", [*_COLON, rf"(?P<n>\w+)\s*(?::[^=]+)?=\s*(?:await\s+)?new\s+{_T}"]),
+        ("java csharp", _C_LIKE),
+        ("c cpp", [*_C_LIKE, rf"\bauto\s*[*&]?\s*(?P<n>\w+)\s*=\s*(?:std::)?make_(?:unique|shared)<(?:\w+::)*{_T}"]),
+        ("go", [rf"(?P<n>\w+)(?:\s*,\s*\w+)?\s*:?=\s*&?(?:\w+\.)?{_T}\{{", r"(?P<n>\w+)(?:\s*,\s*\w+)?\s*:?=\s*(?:\w+\.)?New([A-Z]\w*)\(", rf"(?:\bvar\s+|[(,]\s*)(?P<n>[a-z]\w*)\s+\*?(?:\w+\.)?{_T}(?=[\s,)=]|$)", rf"^\s+(?P<n>[a-z]\w*)\s+\*?(?:\w+\.)?{_T}\s*$"]),
+        ("rust", [*_COLON, rf"let\s+(?:mut\s+)?(?P<n>\w+)\s*=\s*(?:\w+::)*{_T}\s*(?:::\w+\s*\(|\{{)"]),
+        ("ruby", [rf"(?P<n>@?\w+)\s*=\s*(?:\w+::)*{_T}\.new\b"]),
+    )
+    for language in languages.split()
+}
+_TESTED = _re(r"(?:\}?\s*els(?:e\s+|))?(?:if|while|unless)\b\s*[(!]*")
+_HANDLER = _re(r"\s*(?:\}\s*(?:catch|finally)|rescue|ensure)\b")
+_CAUGHT = _re(r"\b(?:catch\s*\(\s*(?:final\s+|const\s+)?([A-Z][\w.:]*)|rescue\s+([A-Z][\w:]*))")
+
+
+def _declared(line: str, language: str) -> dict[str, str]:
+    """Name: type of what a line declares."""
+    return {m.group("n"): next(g for g in m.groups() if g and g != m.group("n")) for p in _DECLARED.get(language, ()) for m in p.finditer(line) if m.group("n") not in _WORDS and any(g and g != m.group("n") for g in m.groups())}
+
+
+def _receiver(callee: str, owner: str, local: dict[str, str], fields: dict[str, str]) -> str:
+    """The type of what a call's last name is called on: the class itself, or as declared in the function or the class."""
+    parts = re.split(r"\.|->|::", callee)[:-1]
+    own = parts and parts[0] in ("this", "self", "$self")
+    if own:
+        parts = parts[1:]
+        if not parts:
+            return owner
+    if len(parts) != 1:
+        return ""
+    known = fields if own else fields | local
+    return known.get(parts[0]) or known.get("@" + parts[0], "")
+
+
 _FACTORY = _re(r"^(create|build|make|New|Create|Make|Build)(?=[A-Z_]|$)")
 
 
@@ -93,6 +133,9 @@ def parse_braces(path: str, source: str, language: str) -> dict:
     ruby = language == "ruby"
     stack: list[dict] = []  # what is open: node or None, depth at which it opened, kind, name
     depth, guard, in_block = 0, [], False
+    local: dict[str, str] = {}  # types in the function that is open
+    fields: dict[str, dict[str, str]] = {}  # types by class
+    caught: list[dict] = []  # what the guarded block that ended last calls
 
     def top(kind: tuple[str, ...]) -> dict | None:
         return next((s for s in reversed(stack) if s["kind"] in kind), None)
@@ -134,18 +177,37 @@ def parse_braces(path: str, source: str, language: str) -> dict:
             opened = {"node": node, "kind": kind, "name": name, "id": node["id"]}
         if opened and opened["node"]:
             out["nodes"].append(opened["node"])
+        if _HANDLER.match(line) and guard and guard[-1][0] == depth - 1:
+            caught = guard.pop()[1]
+        exception = _CAUGHT.search(line)
+        if exception:
+            for error in caught:
+                error["exception"] = error["exception"] or (exception.group(1) or exception.group(2)).rpartition(".")[2].rpartition("::")[2]
         if d.caught and re.search(rf"\b{d.caught}\b", line):
-            guard.append(depth)
+            guard.append((depth, []))
         body = fn if not (opened and opened["kind"] in ("function", "method")) else opened
         starts = bool(f and opened and opened["kind"] in _BODIES)
+        if starts:
+            local = {}
+            if language == "go" and (me := re.match(r"^func\s+\(\s*(\w+)\s+\*?(\w+)", line)):
+                local[me.group(1)] = me.group(2)
+        own_class = body["node"]["parent_id"].rpartition("::")[2] if body and body["node"] and body["kind"] == "method" else cls["name"] if cls else ""
+        if body:
+            local |= _declared(line, language)
+            for name, kind_of in _declared(line, "ruby").items() if ruby else ():
+                fields.setdefault(own_class, {}).setdefault(name, kind_of)
+        elif cls and not opened:
+            fields.setdefault(cls["name"], {}).update(_declared(line, language))
         rest = line[f.end() :] if starts else "" if opened else line
         if body:
             for call in _CALL.finditer(rest):
                 if call.group(1) not in _WORDS:
                     error = {"pattern": d.pattern, "exception": ""} if guard else None
+                    if guard:
+                        guard[-1][1].append(error)
                     before = rest[: call.start()].strip()
-                    usage = "returned" if before.endswith("return") else "assigned" if before.endswith(("=", "(", ",")) else "checked" if re.match(r"(if|while)\b", before) else "awaited" if before.endswith("await") else "ignored"
-                    out["calls"].append({"caller_id": body["id"], "callee": call.group(1), "line": number, "error_handling": error, "return_usage": usage, "receiver_type": ""})
+                    usage = "returned" if before.endswith("return") else "checked" if _TESTED.fullmatch(before) else "assigned" if before.endswith(("=", "(", ",")) else "checked" if re.match(r"(if|while)\b", before) else "awaited" if before.endswith("await") else "ignored"
+                    out["calls"].append({"caller_id": body["id"], "callee": call.group(1), "line": number, "error_handling": error, "return_usage": usage, "receiver_type": _receiver(call.group(1), own_class, local, fields.get(own_class, {}))})
         if ruby:
             up = len(re.findall(r"^\s*(?:class|module|def|if|unless|while|until|case|begin|for)\b|\bdo\b(?:\s*\|[^|]*\|)?\s*$", line))
             down = len(re.findall(r"^\s*end\b", line))
@@ -160,8 +222,8 @@ def parse_braces(path: str, source: str, language: str) -> dict:
                 s = stack.pop()
                 if s["node"]:
                     s["node"]["line_end"] = number
-            while guard and depth <= guard[-1]:
-                guard.pop()
+            while guard and depth <= guard[-1][0]:
+                caught = guard.pop()[1]
     for s in stack:
         if s["node"]:
             s["node"]["line_end"] = count

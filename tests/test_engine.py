@@ -231,3 +231,34 @@ def test_large_files_are_reported(spark, tmp_path):
     assert [r.file_path for r in files.scan(spark, str(tmp_path), largest=100).collect()] == ["small.py"]
     assert [r.file_path for r in files.too_large(spark, str(tmp_path), largest=100).collect()] == ["big.py"]
     assert files.scan(spark, str(tmp_path), largest=None).count() == 2
+
+
+def test_runs_of_tests(spark, tmp_path):
+    from graphlode.sources import testrun
+
+    (tmp_path / "test_a.py").write_text("def test_x():\n    pass\n\n\ndef test_y():\n    assert 0\n")
+    (row,) = testrun.run_pytest(spark, str(tmp_path), str(tmp_path / "logs"), ["-p", "no:cacheprovider"]).collect()
+    assert (row.passed, row.failed) == (1, 1) and row.failures[0].startswith("FAILED test_a.py::test_y")
+    assert "assert 0" in testrun.raw(str(tmp_path / "logs"), row.run)
+    assert [(r.run, r.failed) for r in testrun.stored(spark, str(tmp_path / "logs")).collect()] == [(row.run, 1)]
+    with pytest.raises(ValueError, match="no run"):
+        testrun.raw(str(tmp_path), "../x")
+
+
+RECEIVERS = {
+    ("java", "a/B.java"): ("public class B extends D {\n  private Store store;\n  public int total(Item item) {\n    Cart cart = new Cart();\n    try {\n      int x = cart.sum(1);\n      store.save(item);\n    } catch (IOException e) {\n      log(e);\n    }\n    this.help();\n    return item.price();\n  }\n}\n",
+                         {"cart.sum": ("Cart", "assigned", "IOException"), "store.save": ("Store", "ignored", "IOException"), "this.help": ("B", "ignored", None), "item.price": ("Item", "returned", None), "log": ("", "ignored", None)}),
+    ("typescript", "a/b.ts"): ("export class View {\n  private repo: Repo;\n  render(a: Item) {\n    const c = new Cart();\n    if (c.ok()) {\n      this.repo.find(a);\n    }\n    await a.price();\n  }\n}\n", {"c.ok": ("Cart", "checked", None), "this.repo.find": ("Repo", "ignored", None), "a.price": ("Item", "awaited", None)}),
+    ("go", "a/b.go"): ("func (s *Store) Total(c *Cart) int {\n\tx := NewItem(1)\n\ty := &Box{}\n\ts.help()\n\tx.Price()\n\ty.Open()\n\treturn c.Sum()\n}\n", {"s.help": ("Store", "ignored", None), "x.Price": ("Item", "ignored", None), "y.Open": ("Box", "ignored", None), "c.Sum": ("Cart", "returned", None)}),
+    ("rust", "a/b.rs"): ("struct S {}\nimpl S {\n    pub fn total(&self, c: &Cart) -> i32 {\n        let x = Item::new(1);\n        self.help();\n        x.price();\n        c.sum()\n    }\n}\n", {"self.help": ("S", "ignored", None), "x.price": ("Item", "ignored", None), "c.sum": ("Cart", "ignored", None)}),
+    ("csharp", "a/B.cs"): ("public class B : D {\n  private Store _store;\n  public int Total(Item item) {\n    var cart = new Cart();\n    cart.Sum();\n    _store.Save(item);\n  }\n}\n", {"cart.Sum": ("Cart", "ignored", None), "_store.Save": ("Store", "ignored", None)}),
+    ("cpp", "a/b.cpp"): ("class B : public D {\n  Store store;\n  int total(Item* item) {\n    auto p = new Pen();\n    p->draw();\n    store.save();\n    return item->price();\n  }\n};\n", {"p->draw": ("Pen", "ignored", None), "store.save": ("Store", "ignored", None), "item->price": ("Item", "returned", None)}),
+    ("ruby", "a/b.rb"): ("class B < D\n  def total(item)\n    @store = Store.new\n    begin\n      c = Cart.new(1)\n      c.sum(1)\n    rescue IOError => e\n      log(e)\n    end\n    self.help(2)\n    @store.save(3)\n  end\nend\n", {"c.sum": ("Cart", "ignored", "IOError"), "log": ("", "ignored", None), "self.help": ("B", "ignored", None), "store.save": ("Store", "ignored", None)}),
+}
+
+
+@pytest.mark.parametrize("case", RECEIVERS, ids=lambda c: c[0])
+def test_receivers_and_results_by_their_look(case):
+    source, want = RECEIVERS[case]
+    got = {c["callee"]: (c["receiver_type"], c["return_usage"], c["error_handling"] and c["error_handling"]["exception"]) for c in parse_braces(case[1], source, case[0])["calls"]}
+    assert {k: got[k] for k in want} == want
