@@ -1,4 +1,4 @@
-"""Resolution of calls, imports and bases to symbols: window expressions over call x candidate rows.
+"""Resolution of calls, imports and bases to symbols.
 
 Inputs: symbols (id, kind, name, file_path, parent_id); calls (call_id, caller_id, caller_file, callee, receiver_type, ...);
 imports (file_path, module_path, imported_names). Ids are unique; candidate order is by id.
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from graphlode.functions import text as tx
+from graphlode.storage import stash
 
 FAN_OUT = 6
 
@@ -32,28 +33,24 @@ def import_edges(imports: DataFrame, files: DataFrame, symbols: DataFrame) -> Da
     return to_files.unionByName(to_symbols).where("source_id <> target_id").distinct().select("source_id", "target_id", F.lit("imports").alias("edge_type"), F.lit(1.0).alias("weight"))
 
 
-def candidates(calls: DataFrame, symbols: DataFrame, imports: DataFrame | None = None) -> DataFrame:
-    """Each call with each symbol of its short name, and which rules the symbol fits.
+def _first(symbols: DataFrame, keys: list[str], most: int, n: str, ids: str) -> DataFrame:
+    """The number of symbols of each key, and the first ids of them. No list has more than `most`."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("target_id"))
+    first = symbols.withColumn("place", place).where(F.col("place") <= most).groupBy(*keys).agg(F.array_sort(F.collect_list("target_id")).alias(ids))
+    return symbols.groupBy(*keys).agg(F.count("*").alias(n)).join(first, keys)
 
-    One equi-join on the name; the callers' imported files come as an array, so that no second row is made for them.
-    """
-    bare = F.regexp_replace("callee", r"^self\.", "")
-    c = calls.select("call_id", "caller_id", "caller_file", F.substring_index(bare, ".", -1).alias("name"), F.lower(F.when(bare.contains("."), F.regexp_replace(bare, r"\.[^.]*$", "")).otherwise("")).alias("qualifier"), F.coalesce("receiver_type", F.lit("")).alias("receiver"))
-    if imports is not None:
-        paths = imports.select(F.col("file_path").alias("caller_file"), F.explode(tx.module_files(F.col("module_path"))).alias("f")).groupBy("caller_file").agg(F.collect_set("f").alias("imported"))
-        c = c.join(paths, "caller_file", "left")
-    else:
-        c = c.withColumn("imported", F.lit(None).cast("array<string>"))
-    s = symbols.where("kind <> 'file'").select(F.col("id").alias("target_id"), "name", "kind", "file_path", F.substring_index(F.substring_index("parent_id", "::", -1), ".", -1).alias("class_name"))
+
+def _by_qualifier(open_: DataFrame, grouped: DataFrame) -> DataFrame:
+    """(name, cls, qualifier, hits, bests, best): how many parts of a qualifier the best symbol's id has, how many such
+    there are, and the first. Each qualifier is looked up once, however many calls have it; what it meets is counted by
+    hits before anything moves."""
+    keys = ["name", "cls", "qualifier"]
     parts = F.filter(F.split("qualifier", r"\."), lambda x: x != "")
-    return c.join(s, "name").select(
-        "call_id", "caller_id", "target_id", "name",
-        ((F.col("receiver") != "") & (F.col("kind") == "method") & (F.col("class_name") == F.col("receiver"))).alias("by_receiver"),
-        (F.col("file_path") == F.col("caller_file")).alias("same_file"),
-        F.coalesce(F.array_contains("imported", F.col("file_path")), F.lit(False)).alias("imported"),
-        F.size(F.filter(parts, lambda x: F.lower("target_id").contains(x))).alias("hits"),
-        (tx.module_of(F.col("file_path")) == tx.module_of(F.col("caller_file"))).alias("same_module"),
-    )
+    hits = F.size(F.filter(parts, lambda x: F.lower("target_id").contains(x)))
+    met = open_.where("qualifier <> ''").select(*keys).distinct().join(grouped.select("name", "cls", "target_id"), ["name", "cls"]).select(*keys, "target_id", hits.alias("hits")).where("hits > 0")
+    per = met.groupBy(*keys, "hits").agg(F.count("*").alias("bests"), F.min("target_id").alias("best"))
+    top = per.groupBy(*keys).agg(F.max(F.struct("hits", "bests", "best")).alias("x"))
+    return top.select(*keys, "x.bests", "x.best")
 
 
 def link_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame | None = None, fan_out: int = FAN_OUT) -> DataFrame:
@@ -62,21 +59,45 @@ def link_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame | None =
     The first rule that leaves one candidate decides, with high confidence: the only one; the receiver's type; the same
     file; an imported file; the best qualifier; the same module. Else the candidates, those of the same file first, then
     the imported, then the rest, are all taken with low confidence, `fan_out` at most. Candidates that the receiver's type
-    narrows stay narrowed. Two windows over one partitioning by call.
+    narrows stay narrowed.
+
+    A call never meets all symbols of its name: these are counted, and their first ids kept, by name (and class), file and
+    module, and a call meets one row of each. So a name that calls and symbols by the million share costs their sum.
     """
-    w = Window.partitionBy("call_id")
-    n = lambda c: F.sum(F.col(c).cast("int")).over(w)
-    met = candidates(calls, symbols, imports).withColumn("all", F.count("*").over(w)).withColumn("receivers", n("by_receiver"))
-    met = met.where("all = 1 OR receivers = 0 OR by_receiver")
-    met = met.withColumns({"files": n("same_file"), "imports": n("imported"), "modules": n("same_module"), "best": F.max("hits").over(w)})
-    met = met.withColumn("bests", F.sum((F.col("hits") == F.col("best")).cast("int")).over(w))
-    rule = F.when(F.col("all") == 1, 2).when(F.col("receivers") == 1, 3).when(F.col("files") == 1, 4).when(F.col("imports") == 1, 5)
-    rule = rule.when((F.col("best") > 0) & (F.col("bests") == 1), 6).when(F.col("modules") == 1, 7).otherwise(8)
-    tier = F.when(F.col("same_file"), 0).when(F.col("imported"), 1).otherwise(2)
-    met = met.withColumn("rule", rule).withColumn("place", F.row_number().over(w.orderBy(tier, "target_id")))
-    take = F.when(F.col("rule") == 4, F.col("same_file")).when(F.col("rule") == 5, F.col("imported")).when(F.col("rule") == 6, F.col("hits") == F.col("best")).when(F.col("rule") == 7, F.col("same_module"))
-    take = take.when(F.col("rule") == 8, F.col("place") <= fan_out).otherwise(True)
-    return met.where(take).select("call_id", "caller_id", "target_id", F.when(F.col("rule") == 8, "low").otherwise("high").alias("confidence"), "rule")
+    bare = F.regexp_replace("callee", r"^self\.", "")
+    qualifier = F.lower(F.when(bare.contains("."), F.regexp_replace(bare, r"\.[^.]*$", "")).otherwise(""))
+    c = stash(calls.select("call_id", "caller_id", "caller_file", F.substring_index(bare, ".", -1).alias("name"), qualifier.alias("qualifier"), F.coalesce("receiver_type", F.lit("")).alias("receiver")), "calls")
+    owner = F.substring_index(F.substring_index("parent_id", "::", -1), ".", -1)
+    s = symbols.where("kind <> 'file'").select(F.col("id").alias("target_id"), "name", "file_path", F.when(F.col("kind") == "method", owner).otherwise("").alias("cls"))
+    # A symbol is a candidate by its name, and, if it is a method, by its name and class.
+    grouped = stash(s.withColumn("cls", F.lit("")).unionByName(s.where("cls <> ''")).withColumn("module", tx.module_of(F.col("file_path"))), "symbols-by-name")
+    heads = stash(_first(grouped, ["name", "cls"], 3 * fan_out, "n", "ids"), "names")
+    named = c.join(heads.where("cls = ''").select("name", F.col("n").alias("all"), F.col("ids").alias("all_ids")), "name")
+    typed = heads.where("cls <> ''").select("name", F.col("cls").alias("receiver"), F.col("n").alias("receivers"), F.col("ids").alias("typed_ids"))
+    met = named.join(typed, ["name", "receiver"], "left").withColumns({"cls": F.when(F.col("receivers").isNull(), "").otherwise(F.col("receiver")), "ids": F.coalesce("typed_ids", "all_ids"), "module": tx.module_of(F.col("caller_file"))})
+    met = stash(met.select("call_id", "caller_id", "caller_file", "name", "cls", "qualifier", "module", "all", "receivers", "ids"), "named-calls")
+    plain = met.where("all = 1 OR receivers = 1").select("call_id", "caller_id", F.slice("ids", 1, 1).alias("targets"), F.when(F.col("all") == 1, 2).otherwise(3).alias("rule"))
+    open_ = met.where("all > 1 AND (receivers IS NULL OR receivers > 1)")
+    files = stash(_first(grouped, ["name", "cls", "file_path"], fan_out, "files", "file_ids"), "names-by-file")
+    at = open_.join(files.withColumnRenamed("file_path", "caller_file"), ["name", "cls", "caller_file"], "left")
+    none = F.array().cast("array<string>")
+    if imports is None:
+        at = at.withColumns({"imports": F.lit(0), "import_ids": none})
+    else:
+        paths = imports.select(F.col("file_path").alias("caller_file"), F.explode(tx.module_files(F.col("module_path"))).alias("file_path")).distinct()
+        wanted = open_.select("name", "cls", "caller_file").distinct().join(paths, "caller_file").join(files, ["name", "cls", "file_path"])
+        imported = wanted.groupBy("name", "cls", "caller_file").agg(F.sum("files").alias("imports"), F.slice(F.array_sort(F.flatten(F.collect_list("file_ids"))), 1, 2 * fan_out).alias("import_ids"))
+        at = at.join(imported, ["name", "cls", "caller_file"], "left")
+    at = at.join(_by_qualifier(open_, grouped), ["name", "cls", "qualifier"], "left")
+    at = at.join(grouped.groupBy("name", "cls", "module").agg(F.count("*").alias("modules"), F.min("target_id").alias("module_id")), ["name", "cls", "module"], "left")
+    same, near = F.coalesce("file_ids", none), F.coalesce("import_ids", none)
+    some = F.slice(F.concat(same, F.array_except(near, same), F.array_except("ids", F.concat(same, near))), 1, fan_out)
+    rules = [(4, F.col("files") == 1, same), (5, F.col("imports") == 1, near), (6, F.col("bests") == 1, F.array("best")), (7, F.col("modules") == 1, F.array("module_id"))]
+    rule, targets = F.lit(8), some
+    for number, fits, ids in reversed(rules):
+        rule, targets = F.when(fits, number).otherwise(rule), F.when(fits, ids).otherwise(targets)
+    linked = plain.unionByName(at.select("call_id", "caller_id", targets.alias("targets"), rule.alias("rule")))
+    return linked.select("call_id", "caller_id", F.explode("targets").alias("target_id"), F.when(F.col("rule") == 8, "low").otherwise("high").alias("confidence"), "rule")
 
 
 def call_edges(linked: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from graphlode.operators import find, history, linker, patterns, search
@@ -151,3 +153,51 @@ def test_upserts(spark):
     new = spark.createDataFrame([("a", 2), (None, 2)], "k string, v int")
     assert {tuple(r) for r in upsert(old, new, ["k"]).collect()} == {("a", 2), ("b", 1), (None, 2)}
     assert {tuple(r) for r in last_of(old.unionByName(new), ["k"], F.col("v")).collect()} == {("a", 2), ("b", 1), (None, 2)}
+
+
+def brute_links(symbols, calls, imports, fan_out=6):
+    """The rules over all candidates of each call."""
+    out = {}
+    paths = {}
+    for file, module in imports:
+        base = module.lstrip(".").replace(".", "/")
+        paths.setdefault(file, set()).update({f"{base}.py", f"{base}/__init__.py"})
+    module = lambda p: p.split("/")[0] if "/" in p else ""
+    for k, (file, callee, receiver) in enumerate(calls):
+        bare = callee.removeprefix("self.")
+        qualifier, _, name = bare.rpartition(".")
+        found = sorted((i, kind, path, parent.rsplit("::", 1)[-1].rsplit(".", 1)[-1]) for i, kind, n, path, parent in symbols if n == name and kind != "file")
+        if not found:
+            continue
+        typed = [x for x in found if receiver and x[1] == "method" and x[3] == receiver]
+        pool = typed or found
+        hits = {x[0]: sum(part in x[0].lower() for part in qualifier.lower().split(".") if part) for x in pool}
+        best = [x for x in pool if hits[x[0]] == max(hits.values()) > 0]
+        same, near, mod = [x for x in pool if x[2] == file], [x for x in pool if x[2] in paths.get(file, ())], [x for x in pool if module(x[2]) == module(file)]
+        ladder = [(2, found), (3, typed), (4, same), (5, near), (6, best), (7, mod)]
+        rule, take = next(((r, x) for r, x in ladder if len(x) == 1), (8, sorted(pool, key=lambda x: (0 if x in same else 1 if x in near else 2, x[0]))[:fan_out]))
+        out[f"k{k}"] = [(i, "low" if rule == 8 else "high", rule) for i in sorted(x[0] for x in take)]
+    return out
+
+
+def test_links_as_by_brute_force(spark):
+    r = random.Random(3)
+    files = [f"{m}/f{i}.py" for m in "abc" for i in range(6)] + ["root.py"]
+    symbols = {}
+    for _ in range(220):
+        f, n = r.choice(files), r.choice(["get", "get", "get", "run", "put"])
+        x = method(r.choice("ABCD"), n, f) if r.random() < 0.6 else fn(n, f)
+        symbols[x[0]] = x
+    for x in (fn("solo1", "a/f0.py"), method("E", "solo2", "b/f1.py"), method("E", "get", "b/f1.py")):
+        symbols[x[0]] = x
+    calls = [(r.choice(files), r.choice(["", "self.", "x.", "a.f1.", "F2.b.", "self.d."]) + r.choice(["get", "run", "put", "solo1", "solo2", "none"]), r.choice(["", None, "A", "B", "E", "Z"])) for _ in range(400)]
+    imports = [(f, r.choice(["a.f1", "b.f2", "c.f3", ".a.f0", "os"])) for f in files for _ in range(2)]
+    got = link(spark, list(symbols.values()), calls, imports)
+    assert got == brute_links(symbols.values(), calls, imports) and {x[2] for v in got.values() for x in v} == {2, 3, 4, 5, 6, 7, 8}
+
+
+def test_a_name_that_everything_has(spark):
+    """20,000 calls and 20,000 symbols of one name: no row for each pair."""
+    symbols = spark.range(20_000).selectExpr("concat('m', id % 50, '/f', id, '.py::get') AS id", "'function' AS kind", "'get' AS name", "concat('m', id % 50, '/f', id, '.py') AS file_path", "concat('m', id % 50, '/f', id, '.py') AS parent_id")
+    calls = spark.range(20_000).selectExpr("concat('k', id) AS call_id", "'x' AS caller_id", "concat('q/', id, '.py') AS caller_file", "concat('v', id % 3, '.get') AS callee", "'' AS receiver_type")
+    assert {(r.rule, r.n) for r in linker.link_calls(calls, symbols).groupBy("rule").agg(F.count("*").alias("n")).collect()} == {(8, 120_000)}
