@@ -33,8 +33,9 @@ def _lists(at: np.ndarray, values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values))
 
 
-def build_index(docs: DataFrame) -> DataFrame:
-    """The index of doc_id, text as a stored table. A segment's first row has no term but the keys of its documents."""
+def build_index(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """The index of doc_id, text as a stored table: below path, to be given to matches() again and again, or in the shared
+    folder for as long as the driver runs. A segment's first row has no term but the keys of its documents."""
     text = docs["text"].cast("string")
     narrow = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("c1"), F.hash(text).alias("c2"), text.alias("text"))
     names = ["seg", "term", "n", "ords", "places", "doc_ids", "c1", "c2"]
@@ -77,7 +78,11 @@ def build_index(docs: DataFrame) -> DataFrame:
         if keys:
             yield from segment(seg, keys, parts)
 
-    return stash(narrow.mapInArrow(run, _INDEX), "token-index")
+    index = narrow.mapInArrow(run, _INDEX)
+    if path is None:
+        return stash(index, "token-index")
+    index.write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(index.schema).parquet(path)
 
 
 def item_terms(items: DataFrame, least: int = 1) -> DataFrame:
@@ -213,9 +218,8 @@ def _counted(hits: DataFrame) -> DataFrame:
     return hits.mapInArrow(run, "item long, item_id long, length int, seg long, ord int, run int, doc_pos int, item_pos int, near int")
 
 
-def _judged(docs: DataFrame, items: DataFrame, n: int, near: float, least: int) -> tuple[DataFrame, DataFrame]:
+def _judged(index: DataFrame, items: DataFrame, n: int, near: float, least: int) -> tuple[DataFrame, DataFrame]:
     """(matches by item, seg and ord; the documents' keys by seg and ord)."""
-    index = build_index(docs)
     terms = stash(item_terms(items, least), "item-terms")
     lengths = stash(terms.select("item", "item_id", "length").distinct(), "items")
     wanted = broadcast_if_small(terms.select("term").distinct(), 8)
@@ -236,7 +240,7 @@ def _judged(docs: DataFrame, items: DataFrame, n: int, near: float, least: int)
     return found, keys
 
 
-def matches(docs: DataFrame, items: DataFrame, n: int = N, near: float = NEAR, least: int = 1) -> DataFrame:
+def matches(docs: DataFrame | None, items: DataFrame, n: int = N, near: float = NEAR, least: int = 1, index: DataFrame | None = None) -> DataFrame:
     """One row (item_id, doc_id, kind, run, doc_pos, item_pos, near) for each item that a document holds.
 
     kind is exact if the document has n consecutive tokens of the item (all of an item of fewer), else proximity if at
@@ -246,15 +250,16 @@ def matches(docs: DataFrame, items: DataFrame, n: int = N, near: float = NEAR, l
     Tokens, positions from 0, are runs of letters and digits in lower case. Null and empty texts match nothing, nor do
     items of fewer than `least` tokens; by default all items count, one of a single word is in every document with that
     word. Repeated documents and items give repeated findings once. Null ids stay null. Empty tables give no row.
+    index: what build_index() made of the documents, if that is at hand; docs are then not read.
     """
-    found, keys = _judged(docs, items, n, near, least)
+    found, keys = _judged(build_index(docs) if index is None else index, items, n, near, least)
     named = keys.join(broadcast_if_small(found, 64), ["seg", "ord"])
     return named.select("item_id", "doc_id", "kind", "run", "doc_pos", "item_pos", "near").distinct()
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = N, near: float = NEAR, least: int = 1) -> DataFrame:
     """docs, all columns, without the rows that match an item: see matches(). Null and empty texts stay."""
-    found, keys = _judged(docs, items, n, near, least)
+    found, keys = _judged(build_index(docs), items, n, near, least)
     named = keys.join(broadcast_if_small(found.select("seg", "ord").distinct(), 16), ["seg", "ord"])
     named = stash(named.select(F.col("doc_id").alias("__id"), F.col("c1").alias("__c1"), F.col("c2").alias("__c2")).distinct(), "contaminated")
     text = docs["text"].cast("string")

@@ -123,7 +123,7 @@ def brute_matches(docs, items, n, near):
     return out
 
 
-def test_decontamination(spark):
+def test_decontamination(spark, tmp_path):
     r, vocab, docs = texts(3, 30, 80, 120)
     items = [" ".join(r.choice(vocab) for _ in range(n)) for n in (30, 20, 13, 6, 3, 40)] + ["answer is fortytwo", "singleton", "..."]
     docs[0] += " " + items[0]
@@ -139,7 +139,8 @@ def test_decontamination(spark):
     got = {(x.item_id, x.doc_id, x.kind, x.run) for x in decontaminate.matches(frame(spark, docs), it).collect()}
     assert got == brute_matches(docs, items, decontaminate.N, decontaminate.NEAR)
     assert {(0, 0), (1, 1), (0, 2), (5, 3), (3, 4), (4, 5), (1, 6), (6, 7), (7, 8)} <= {(a, b) for a, b, _, _ in got}
-    longer = {(x.item_id, x.doc_id) for x in decontaminate.matches(frame(spark, docs), it, least=5).collect()}
+    index = decontaminate.build_index(frame(spark, docs), str(tmp_path / "index"))
+    longer = {(x.item_id, x.doc_id) for x in decontaminate.matches(None, it, least=5, index=index).collect()}
     assert longer == {(a, b) for a, b, _, _ in got if a not in (4, 6, 7)}
 
 
