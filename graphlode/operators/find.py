@@ -23,7 +23,7 @@ UNTESTED_EXCLUDES = tx.LOW_PRIORITY
 def framework_entry(name: Column, tags: Column) -> Column:
     """Whether a framework calls a symbol at run time: by tag, decorator, base class or naming convention."""
     by_tag = F.arrays_overlap(tags, F.array(*map(F.lit, LIVE_TAGS)))
-    by_decorator = F.exists(tags, lambda t: t.startswith("decorator:") & F.substring_index(F.substring(t, 11, 1000), ".", -1).isin(DECORATORS))
+    by_decorator = F.exists(tags, lambda t: t.startswith("decorator:") & F.substring_index(F.substr(t, F.lit(11)), ".", -1).isin(DECORATORS))
     by_base = F.exists(tags, lambda t: t.startswith("extends:"))
     by_name = name.rlike("^__.*__$|^test_|^Test|(View|Serializer|Admin|Form|ViewSet)$") | name.isin(LIFECYCLE)
     return by_tag | by_decorator | by_base | F.coalesce(by_name, F.lit(False))

@@ -19,7 +19,7 @@ def extract_keywords(nodes: DataFrame) -> DataFrame:
     """
     name = F.concat(F.array("name"), tx.identifier_parts(F.col("name")))
     words = F.regexp_extract_all(F.coalesce("docstring", F.lit("")), F.lit(r"[a-zA-Z_]\w*"), F.lit(0))
-    bases = lambda t: F.concat(F.array(F.lit("extends")), F.split(F.substring(t, 9, 100000), ","))
+    bases = lambda t: F.concat(F.array(F.lit("extends")), F.split(F.substr(t, F.lit(9)), ","))
     tags = F.flatten(F.transform("tags", lambda t: F.when(t.startswith("extends:"), bases(t)).otherwise(F.array(t))))
     stems = F.transform(F.split(F.translate("file_path", "\\", "/"), "/"), lambda p: F.regexp_replace(p, r"\.[^.]*$", ""))
     path = F.flatten(F.transform(stems, lambda s: F.concat(F.array(s), tx.identifier_parts(s))))
