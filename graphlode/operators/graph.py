@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from graphlode.schema import REVERSE
-from graphlode.storage import broadcast_if_small, cut, hinted
+from graphlode.storage import broadcast_if_small, cut, hinted, release
 
 #: Bytes a frontier row is taken to have.
 ROW = 100
@@ -165,6 +165,7 @@ def ancestors(inherits: DataFrame) -> DataFrame:
         grown = cut(closure.unionByName(longer).groupBy("id", "ancestor").agg(F.min("depth").alias("depth")))
         if grown.count() == closure.count():
             break
+        release(closure)
         closure = grown
     return closure.where("id <> ancestor")
 

@@ -50,7 +50,16 @@ def stash(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     atexit.register(_drop_at_exit, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Deletes what stash() or cut() wrote for df, when nothing that is still to run reads it."""
+    path = getattr(df, "_stored_at", None)
+    if path:
+        drop_path(df.sparkSession, path)
 
 
 def cut(df: DataFrame) -> DataFrame:
