@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from graphlode.llm import textkernel as tk
-from graphlode.storage import broadcast_if_small, cut, stash
+from graphlode.storage import broadcast_if_small, cut, release, stash
 
 SIZE = 128
 BANDS = 32
@@ -242,10 +242,10 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """(node, label) of every node with an edge (a, b); label is the smallest node it is connected with.
 
     Union-find inside each partition, then alternating large-star and small-star rounds between partitions, each cut by
-    a checkpoint, until nothing moves. Nothing is gathered on the driver.
+    a stored table, until nothing moves. Nothing is gathered on the driver.
     """
     e = cut(_local_union_find(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")))
-    before = None
+    before, last = None, e
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -253,6 +253,8 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         low = e.groupBy("a").agg(F.min("b").alias("m"))
         joined = e.join(low, "a")
         e = cut(joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", "m")).distinct())  # small star
+        release(last)
+        last = e
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             return e.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

@@ -354,7 +354,8 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, reject: float = REJECT)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, reject: float = REJECT) -> DataFrame:
-    """docs, all columns, without the rows that toxic_documents() would list."""
+    """docs, all columns, without the rows that toxic_documents() would list. Null and empty texts stay, repeated rows go or
+    stay together, an empty table stays empty."""
     s = scorer(fit(docs, labels))
     return docs.where(s(docs["text"].cast("string"))["score"] < reject)
 
