@@ -25,7 +25,7 @@ from graphlode.storage import stash
 LENGTH = 50
 SEGMENT_BYTES = 6 << 20
 #: Hashes that one bucket is meant to hold; with more windows there are more buckets.
-BUCKET_HASHES = 1_000_000
+BUCKET_HASHES = 250_000
 LEAST_BUCKETS = 32
 
 
