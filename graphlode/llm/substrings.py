@@ -4,7 +4,9 @@ Every window of LENGTH tokens of every document gets a Rabin-Karp hash. A segmen
 of its distinct hashes travels once, packed in eight bytes, to its bucket of the hash space, where Spark tasks count the
 segments that have it; what goes back is one bit a hash. So a passage that a third of all documents share weighs no more
 than once a segment. Each segment then merges its repeated windows into maximal intervals. Segments are a stored table,
-so both passes, and any task that is run again, see the same windows in the same order.
+so both passes, and any task that is run again, see the same windows in the same order. Their texts are compressed by the
+task that makes them and stay so until they are tokenized: many of them stand in one batch, and where the bits are too
+many to broadcast, the segments are shuffled to meet theirs.
 
 Windows are compared by their 64-bit hashes: of n windows about n * n / 2**65 pairs collide by chance, one in a corpus
 of 6e9 windows, some millions of 1e13 at 100 TB (one window in 1e6).
@@ -20,17 +22,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from graphlode.llm import textkernel as tk
-from graphlode.storage import stash
+from graphlode.storage import BROADCAST_BYTES, stash
 
 LENGTH = 50
-SEGMENT_BYTES = 6 << 20
+SEGMENT_BYTES = 2 << 20
 #: Hashes that one bucket is meant to hold; with more windows there are more buckets.
-BUCKET_HASHES = 250_000
+BUCKET_HASHES = 750_000
 LEAST_BUCKETS = 32
+CODEC = "zstd"
+#: Text whose tokens are found at once, unless one document has more.
+CHUNK_BYTES = 1 << 19
 
 
 def _segments(docs: DataFrame) -> DataFrame:
-    """(seg, chars, doc_ids, lengths, text): documents end to end as UTF-8, with the bytes of each."""
+    """(seg, chars, doc_ids, lengths, text): documents end to end as UTF-8, compressed, with the bytes of each."""
     narrow = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,11 +44,11 @@ def _segments(docs: DataFrame) -> DataFrame:
         def row() -> pa.RecordBatch:
             lengths = [len(x) for x in texts]
             return pa.RecordBatch.from_arrays(
-                [pa.array([seg]), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([b"".join(texts)], pa.binary())], names=["seg", "doc_ids", "lengths", "text"]
+                [pa.array([seg]), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([pa.compress(b"".join(texts), CODEC, asbytes=True)], pa.binary())], names=["seg", "doc_ids", "lengths", "text"]
             )
 
         for b in batches:
-            for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for i, x in zip(b.column(0).to_pylist(), (x.as_py() for x in b.column(1))):
                 ids.append(i)
                 texts.append(x)
                 size += len(x)
@@ -62,9 +67,9 @@ class _Windows:
     def __init__(self, text: pa.Scalar, lengths: pa.Scalar, length: int):
         size = lengths.values.to_numpy()
         at = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-        col = pa.Array.from_buffers(pa.string(), len(size), [None, pa.py_buffer(at), text.as_buffer()])
+        col = pa.Array.from_buffers(pa.string(), len(size), [None, pa.py_buffer(at), pa.decompress(text.as_buffer(), int(at[-1]), CODEC)])
         owner, first, hashes = [], [], []
-        for c in tk.chunks(col):
+        for c in tk.chunks(col, CHUNK_BYTES):
             t = tk.tokenize(c)
             inside = np.maximum(np.diff(t.at) - length + 1, 0)
             if not inside.any():
@@ -123,7 +128,7 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     segments = _segments(docs)
     # Two letters and a blank are about the least a token takes; the number only sets how many buckets there are.
-    size = segments.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = segments.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     buckets = int(max(LEAST_BUCKETS, size // 6 // BUCKET_HASHES))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +146,7 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     masks = stash(packed.groupBy("bucket").applyInArrow(_count_bucket, "seg long, bucket long, mask binary"), "substring-masks")
     per_segment = masks.groupBy("seg").agg(F.collect_list(F.struct("bucket", "mask")).alias("masks"))
     mask_bytes = masks.agg(F.sum(F.octet_length("mask") + 24)).first()[0] or 0
-    joined = segments.join(F.broadcast(per_segment) if mask_bytes < 32 << 20 else per_segment, "seg")
+    joined = segments.join(F.broadcast(per_segment) if mask_bytes < BROADCAST_BYTES else per_segment, "seg")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

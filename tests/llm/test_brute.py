@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -319,6 +320,42 @@ def test_substrings(spark):
         assert got == brute_intervals(rows, length) and got
 
 
+def test_substrings_of_many_segments_shuffled(spark, monkeypatch):
+    """Bits beyond the broadcast's bound: the segments are shuffled, nothing is lost between them."""
+    r, vocab, rows = texts(10, 60, 90, 60)
+    passage = " ".join(r.choice(vocab) for _ in range(60))
+    rows = [None, "", "été " * 70, *(f"{x} {passage}" if i % 7 == 0 else x for i, x in enumerate(rows)), "\u4f60\u597d " * 3, rows[0]]
+    monkeypatch.setattr(substrings, "SEGMENT_BYTES", 300)
+    monkeypatch.setattr(substrings, "BROADCAST_BYTES", 0)
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for length in (8, substrings.LENGTH):
+            df = substrings.repeated_intervals(frame(spark, rows), length)
+            assert "BroadcastHashJoin" not in df._jdf.queryExecution().sparkPlan().toString()
+            assert {(x.doc_id, x.first, x.end) for x in df.collect()} == brute_intervals(rows, length)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+
+
+def test_substrings_segments_are_small(spark):
+    """What is read, batched and shuffled of a segment, and what its windows take in a Python worker."""
+    r, vocab, _ = texts(11, 1, 9, 5000)
+    rows = [" ".join(r.choices(vocab, k=4000)) for _ in range(400)]
+    stored = substrings._segments(frame(spark, rows).coalesce(1)).select("doc_ids", "lengths", "text").toArrow()
+    assert sorted(i for x in stored["doc_ids"] for i in x.as_py()) == list(range(400))
+    assert sum(sum(x.as_py()) for x in stored["lengths"]) == sum(map(len, rows)) > 8e6
+    assert max(len(x.as_py()) for x in stored["text"]) < 2 << 20
+    tk.tables()
+    tracemalloc.start()
+    try:
+        for text, lengths in zip(stored["text"], stored["lengths"]):
+            substrings._Windows(text, lengths, substrings.LENGTH).distinct()
+        assert tracemalloc.get_traced_memory()[1] < 50e6
+    finally:
+        tracemalloc.stop()
+
+
 # -- 7
 
 
