@@ -5,19 +5,89 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from graphlode.functions import text as tx
-from graphlode.storage import cut
+from graphlode.functions.prefix import ordinals
+from graphlode.operators import adjacency
+from graphlode.storage import cut, release, stash
 
 
 def flow_paths(entries: DataFrame, calls: DataFrame, max_depth: int = 8, max_paths: int = 2, max_branch: int = 3) -> DataFrame:
     """(entry, n, path): from each entry (id) the first paths of calls to a node without any further, in breadth-first order.
 
     Neighbours go in order of id; each node has a place in one path only; at most max_branch branches at a node; a path
-    ends at max_depth nodes. All entries are searched at once, level by level: a level is one join with the calls, then
-    one pass over each entry's few open paths.
+    ends at max_depth nodes. An entry may open max_branch ** (max_depth - 1) paths, thousands, before its first one ends, so
+    none of them is stored: ids become numbers in their order, the calls files to look them up in, and each entry is searched
+    in one go. Where the shared folder is no path that executors can open, flow_paths_by_levels() does the same by joins.
     """
+    folder = adjacency.local_folder(entries.sparkSession)
+    if folder is None:
+        return flow_paths_by_levels(entries, calls, max_depth, max_paths, max_branch)
+    called = stash(calls.select("source_id", "target_id"), "calls")
+    known = called.select(F.col("source_id").alias("id")).unionByName(called.select(F.col("target_id").alias("id"))).unionByName(entries.select("id")).distinct()
+    ids = stash(ordinals(stash(known, "ids"), ["id"], "k"), "numbers")
+    pairs = called.join(ids.select(F.col("id").alias("source_id"), F.col("k").alias("s")), "source_id").join(ids.select(F.col("id").alias("target_id"), F.col("k").alias("t")), "target_id")
+    files = adjacency.write(pairs.select("s", "t"), folder)
+    release(called)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = adjacency.Reader(files)
+        for b in batches:
+            numbers, paths = [], []
+            for entry in b.column(0).to_pylist():
+                for n, path in enumerate(_first_paths(reader, entry, max_depth, max_paths, max_branch)):
+                    numbers.append(n)
+                    paths.append(path)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(paths, pa.list_(pa.int64()))], names=["n", "path"])
+
+    # An entry's search costs much more than its row, so there are tasks for all cores; entries whose ids are near look at
+    # the same parts of the files.
+    at = entries.select("id").join(ids, "id").select("k").repartitionByRange(4 * entries.sparkSession.sparkContext.defaultParallelism, "k").sortWithinPartitions("k")
+    found = stash(at.mapInArrow(search, "n int, path array<bigint>").withColumn("row", F.monotonically_increasing_id()), "flows")
+    named = found.select("row", "n", F.posexplode("path").alias("pos", "k")).join(ids, "k")
+    path = F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("path")
+    return named.groupBy("row", "n").agg(path).select(F.get("path", F.lit(0)).alias("entry"), "n", "path")
+
+
+def _first_paths(reader: adjacency.Reader, entry: int, max_depth: int, max_paths: int, max_branch: int) -> list[list[int]]:
+    nodes, before, level, seen, done = [entry], [-1], [0], {entry}, []
+
+    def path(i: int) -> list[int]:
+        out = []
+        while i >= 0:
+            out.append(nodes[i])
+            i = before[i]
+        return out[::-1]
+
+    for length in range(1, max_depth + 1):
+        more = []
+        for i in level:
+            if len(done) >= max_paths:
+                return done
+            if length == max_depth:
+                done.append(path(i))
+                continue
+            fresh = reader.unseen(nodes[i], seen, max_branch)
+            seen.update(fresh)
+            # Of paths of full length no more than max_paths are looked at again.
+            if length + 1 < max_depth or len(more) < max_paths:
+                for t in fresh:
+                    more.append(len(nodes))
+                    nodes.append(t)
+                    before.append(i)
+            if not fresh and length >= 2:
+                done.append(path(i))
+        level = more
+        if not level or len(done) >= max_paths:
+            break
+    return done
+
+
+def flow_paths_by_levels(entries: DataFrame, calls: DataFrame, max_depth: int = 8, max_paths: int = 2, max_branch: int = 3) -> DataFrame:
+    """flow_paths() level by level, all entries at once: a level is one join with the calls, then one pass over each entry's
+    open paths, which are stored."""
     adjacent = calls.select("source_id", "target_id").distinct().groupBy("source_id").agg(F.array_sort(F.collect_list("target_id")).alias("next"))
     open_ = entries.select(F.col("id").alias("entry"), F.array(F.array("id")).alias("open"), F.array("id").alias("seen"), F.array().cast("array<array<string>>").alias("done"))
 
@@ -47,7 +117,8 @@ def flow_paths(entries: DataFrame, calls: DataFrame, max_depth: int = 8, max_pat
         tips = open_.select("entry", F.explode_outer("open").alias("p")).select("entry", F.element_at("p", -1).alias("source_id")).distinct()
         lists = tips.join(adjacent, "source_id").groupBy("entry").agg(F.collect_list(F.struct("source_id", "next")).alias("nexts"))
         joined = open_.join(lists, "entry", "left").withColumn("nexts", F.coalesce("nexts", F.array().cast("array<struct<source_id:string,next:array<string>>>")))
-        open_ = cut(joined.mapInPandas(one_level, kept))
+        before, open_ = open_, cut(joined.mapInPandas(one_level, kept))
+        release(before)
         if open_.where(F.size("open") > 0).isEmpty():
             break
     return open_.select("entry", F.posexplode("done").alias("n", "path"))

@@ -1,9 +1,10 @@
 """Hot keys and equal values: no list, window or task with all of one key's rows."""
 
 import random
+from pathlib import Path
 
 from graphlode.functions.prefix import ordinals
-from graphlode.operators import concepts, history, patterns, scores
+from graphlode.operators import adjacency, concepts, history, patterns, scores
 
 
 def test_ranks_of_equal_scores(spark):
@@ -42,3 +43,27 @@ def test_nav_flows_in_order_without_repeats(spark):
     assert [r.path for r in got.orderBy("n").collect()] == [["a", "b", "c", "d"], ["p", "q", "r", "s"], ["b", "c", "d"]]
     strict = concepts.nav_flows(spark.createDataFrame(entries, "group string, id string, rank int"), spark.createDataFrame(calls, "source_id string, target_id string"), overlap=0.5)
     assert [r.path for r in strict.orderBy("n").collect()] == [["a", "b", "c", "d"], ["p", "q", "r", "s"], ["u", "v"]]
+
+
+def test_flows_store_no_open_paths(spark):
+    """Every node calls a third of all: an entry opens 3 ** 7 paths before its first one ends."""
+    r = random.Random(2)
+    ids = [f"n{r.random():.15f}" for _ in range(60)]
+    calls = spark.createDataFrame([(a, b) for a in ids for b in r.sample(ids, 20) if a != b], "source_id string, target_id string")
+    entries = spark.createDataFrame([(i,) for i in [*ids, "lone"]], "id string")
+    folder = Path(adjacency.local_folder(spark))
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    before = size()
+    got = sorted((x.entry, x.n, tuple(x.path)) for x in concepts.flow_paths(entries, calls).collect())
+    assert size() - before < 200_000
+    assert got == sorted((x.entry, x.n, tuple(x.path)) for x in concepts.flow_paths_by_levels(entries, calls).collect()) and len({x[0] for x in got}) == 60
+
+
+def test_neighbours_in_files(spark):
+    """Targets beyond a chunk, pairs that come twice, sources that aren't there."""
+    pairs = [(s, t) for s in (3, 5, 900) for t in range(0, 4 * adjacency.CHUNK, s % 4 + 1)] + [(7, 1)]
+    reader = adjacency.Reader(adjacency.write(spark.createDataFrame(pairs * 2, "s long, t long"), adjacency.local_folder(spark)))
+    for s in (0, 3, 4, 5, 7, 900, 901):
+        for seen in (set(), set(range(150)), set(range(10_000))):
+            want = [t for x, t in sorted(set(pairs)) if x == s and t not in seen]
+            assert [reader.unseen(s, seen, n) for n in (1, 3, 1000)] == [want[:1], want[:3], want]
