@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from graphlode.storage import size_of
+
 AS_OF_EVENTS = "2024-01-30 00:00:00"
 AS_OF_ORDERS = "2001-08-01 00:00:00"
 
@@ -19,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def size(spark: SparkSession, sf_dir: str) -> int:
+    """Bytes of the tables that make graphs."""
+    return size_of(spark, *(f"{sf_dir}/{t}.parquet" for t in ("customer", "supplier", "part", "orders", "lineitem")))
+
+
 def _id(prefix: str, key: str) -> Column:
     return F.concat(F.lit(f"{prefix}:"), F.col(key).cast("string"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -13,7 +14,7 @@ from graphlode.plans import bindings as b
 from graphlode.sources import files as source_files
 from graphlode.sources import parse
 from graphlode.sources.store import Store
-from graphlode.storage import shared_dir, stash
+from graphlode.storage import shared_dir, spread, stash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -122,18 +123,28 @@ def query(name: str, sql: str | None = None):
     """Registers a query, with its oracle if it has one."""
 
     def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = f
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spread(spark, b.size(spark, sf_dir))
+            return f(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
-        return f
+        return run
 
     return add
 
 
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges, stored as the engine has them. A semi or anti join with unions would be done for each of their parts,
+    and read its other side as often."""
+    return stash(b.nodes(spark, sf_dir), "nodes"), stash(b.edges(spark, sf_dir), "edges")
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Nodes with importance, and edges, both stored as the engine has them: reports read them many times."""
-    e = stash(b.edges(spark, sf_dir), "edges")
-    n = stash(b.nodes(spark, sf_dir), "nodes")
+    n, e = _graph(spark, sf_dir)
     return stash(scores.scored_nodes(n, e), "scored"), e
 
 
@@ -224,24 +235,24 @@ def _(spark, d):
   SELECT source_id, target_id FROM edges JOIN mods a ON a.id = source_id JOIN mods b ON b.id = target_id WHERE a.m <> '' AND b.m <> '' AND a.m <> b.m)
 SELECT source_id AS id FROM x UNION SELECT target_id FROM x""")
 def _(spark, d):
-    return find.find(b.nodes(spark, d), b.edges(spark, d), crosses=True).select("id")
+    return find.find(*_graph(spark, d), crosses=True).select("id")
 
 
 @query("find_no_tests", f"{GRAPH},{COVER} SELECT id, kind FROM nodes WHERE NOT list_contains(tags, 'test') AND id NOT IN (SELECT id FROM cover) AND {_CATEGORY} NOT IN ('test', 'doc', 'example', 'vendor', 'generated', 'script')")
 def _(spark, d):
-    return find.find(b.nodes(spark, d), b.edges(spark, d), no_tests=True).select("id", "kind")
+    return find.find(*_graph(spark, d), no_tests=True).select("id", "kind")
 
 
 @query("find_no_direct_tests", f"{GRAPH},{COVER} SELECT id, kind FROM nodes WHERE NOT list_contains(tags, 'test') AND id NOT IN (SELECT id FROM d1) AND {_CATEGORY} IN ('core', 'doc')")
 def _(spark, d):
-    return find.find(b.nodes(spark, d), b.edges(spark, d), no_direct_tests=True, include=["core", "doc"]).select("id", "kind")
+    return find.find(*_graph(spark, d), no_direct_tests=True, include=["core", "doc"]).select("id", "kind")
 
 
 @query("find_dead", f"""{GRAPH}, used AS (SELECT target_id FROM edges WHERE edge_type IN ('calls', 'imports', 'inherits', 'instantiates'))
 SELECT id, kind, name FROM nodes WHERE kind NOT IN ('file', 'method') AND NOT list_has_any(tags, ['test', 'entrypoint', 'callback', 'route_handler']) AND NOT (kind = 'class' AND list_contains(tags, 'data_model'))
   AND name <> 'main' AND id NOT IN (SELECT target_id FROM used)""")
 def _(spark, d):
-    return find.dead(b.nodes(spark, d), b.edges(spark, d)).select("id", "kind", "name")
+    return find.dead(*_graph(spark, d)).select("id", "kind", "name")
 
 
 @query("framework_entry", f"{GRAPH} SELECT id, name FROM nodes WHERE list_has_any(tags, ['test', 'entrypoint', 'callback', 'route_handler'])")
@@ -290,7 +301,7 @@ def _(spark, d):
 
 @query("test_coverage", f"{GRAPH},{COVER} SELECT id, direct_count, transitive, hops, via FROM cover")
 def _(spark, d):
-    return graph.test_coverage(b.nodes(spark, d), stash(b.edges(spark, d), "edges"))
+    return graph.test_coverage(*_graph(spark, d))
 
 
 @query("test_coverage_multihop", SUCCESSION + f", nodes AS (SELECT 'p:' || p_partkey AS id, CASE WHEN p_size <= 5 THEN ['test'] ELSE [] END AS tags FROM part),{COVER.replace(' FROM edges WHERE edge_type = ' + chr(39) + 'calls' + chr(39), ' FROM edges')} SELECT id, direct_count, transitive, hops, via FROM cover")

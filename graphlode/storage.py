@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: A side of a join is broadcast only while its measured size is below this.
 BROADCAST_BYTES = 32 << 20
+#: Bytes of input files for which a shuffle has a partition of its own.
+SPREAD_BYTES = 4 << 20
+_INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,6 +31,29 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def size_of(spark: SparkSession, *paths: str) -> int:
+    """Bytes of the files at or below the paths; 0 for one that isn't there."""
+    conf, total = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    for path in paths:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = hadoop.getFileSystem(conf)
+        total += fs.getContentSummary(hadoop).getLength() if fs.exists(hadoop) else 0
+    return total
+
+
+def spread(spark: SparkSession, n_bytes: int) -> None:
+    """Lets shuffles start with a partition for each SPREAD_BYTES of n_bytes, if that is more than the session's number.
+
+    With a fixed number a task reads, sorts and holds a share that grows with the input. Adaptive execution joins partitions
+    that turn out small, so there are no more tasks than before where there is little to do.
+    """
+    least, wanted = int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // SPREAD_BYTES)
+    if wanted > least:
+        spark.conf.set(_INITIAL, wanted)
+    elif spark.conf.get(_INITIAL, None):
+        spark.conf.unset(_INITIAL)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)

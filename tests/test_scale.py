@@ -5,6 +5,9 @@ from pathlib import Path
 
 from graphlode.functions.prefix import ordinals
 from graphlode.operators import adjacency, concepts, history, patterns, scores
+from graphlode.plans import catalogue
+from graphlode.storage import SPREAD_BYTES, spread
+from tests.oracle import DATA
 
 
 def test_ranks_of_equal_scores(spark):
@@ -67,3 +70,32 @@ def test_neighbours_in_files(spark):
         for seen in (set(), set(range(150)), set(range(10_000))):
             want = [t for x, t in sorted(set(pairs)) if x == s and t not in seen]
             assert [reader.unseen(s, seen, n) for n in (1, 3, 1000)] == [want[:1], want[:3], want]
+
+
+def test_one_semi_join_for_all_kinds_of_nodes(spark):
+    """Pushed below the union of nodes, it would read what crosses modules once for each of six kinds, in one task's turn."""
+    for name, join in (("find_cross_module", "LeftSemi"), ("find_no_tests", "LeftAnti")):
+        plan = catalogue.QUERIES[name](spark, str(DATA / "sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(f"Join {join}, (id") == 1
+
+
+def test_shuffles_start_with_more_partitions_for_more_input(spark):
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    spread(spark, 100 * SPREAD_BYTES)
+    try:
+        assert spark.conf.get(key) == "100"
+        assert spark.range(100).groupBy("id").count().count() == 100
+    finally:
+        spread(spark, 0)
+    assert spark.conf.get(key, None) is None
+
+
+def test_edges_are_shuffled_by_numbers(spark):
+    """Beyond the joins with either end an edge carries no id, and unknown ends count for nobody."""
+    nodes = spark.createDataFrame([("a", "a", "m/x"), ("b", "_b", "k/x")], "id string, name string, file_path string")
+    edges = spark.createDataFrame([("a", "b", "calls"), ("a", "gone", "calls"), ("gone", "b", "imports"), ("gone", "gone", "calls"), ("a", "b", "other")], "source_id string, target_id string, edge_type string")
+    got = scores.importance(nodes, edges)
+    assert {r.id: r.importance for r in got.collect()} == {"a": 1 + 2 * 0.5 + 2, "b": 2 + 2 + 0.5}
+    tail = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [n#" in tail and "Aggregate [id#" not in tail
+    assert {r.id for r in scores.cross_module(nodes, edges).collect()} == {"a", "b"}
