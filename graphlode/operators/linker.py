@@ -6,10 +6,10 @@ imports (file_path, module_path, imported_names). Ids are unique; candidate orde
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from graphlode.functions import text as tx
-from graphlode.storage import stash
+from graphlode.storage import looked_up, stash
 
 FAN_OUT = 6
 
@@ -53,30 +53,33 @@ def _by_qualifier(open_: DataFrame, grouped: DataFrame) -> DataFrame:
     return top.select(*keys, "x.bests", "x.best")
 
 
-def link_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame | None = None, fan_out: int = FAN_OUT) -> DataFrame:
-    """(call_id, caller_id, target_id, confidence, rule) of each resolved call.
+def resolved(calls: DataFrame, symbols: DataFrame, imports: DataFrame | None = None, fan_out: int = FAN_OUT, keep: list[str] = ()) -> DataFrame:
+    """(call_id, caller_id, targets, rule, keep) of each resolved call; keep: more columns of calls.
 
-    The first rule that leaves one candidate decides, with high confidence: the only one; the receiver's type; the same
-    file; an imported file; the best qualifier; the same module. Else the candidates, those of the same file first, then
-    the imported, then the rest, are all taken with low confidence, `fan_out` at most. Candidates that the receiver's type
-    narrows stay narrowed.
+    The first rule that leaves one candidate decides: the only one; the receiver's type; the same file; an imported file;
+    the best qualifier; the same module. Else the candidates, those of the same file first, then the imported, then the
+    rest, are all taken, `fan_out` at most (rule 8). Candidates that the receiver's type narrows stay narrowed.
 
-    A call never meets all symbols of its name: these are counted, and their first ids kept, by name (and class), file and
-    module, and a call meets one row of each. So a name that calls and symbols by the million share costs their sum.
+    What a call means depends on its name, receiver, qualifier and file alone, so each four of these are resolved once,
+    however many calls have them; calls are shuffled to what was found only. These four never meet all symbols of their
+    name: symbols are counted, and their first ids kept, by name (and class), file and module, and one row of each is met. So a
+    name that calls and symbols by the million share costs their sum.
     """
     bare = F.regexp_replace("callee", r"^self\.", "")
     qualifier = F.lower(F.when(bare.contains("."), F.regexp_replace(bare, r"\.[^.]*$", "")).otherwise(""))
-    c = stash(calls.select("call_id", "caller_id", "caller_file", F.substring_index(bare, ".", -1).alias("name"), qualifier.alias("qualifier"), F.coalesce("receiver_type", F.lit("")).alias("receiver")), "calls")
+    c = stash(calls.select("call_id", "caller_id", "caller_file", F.substring_index(bare, ".", -1).alias("name"), qualifier.alias("qualifier"), F.coalesce("receiver_type", F.lit("")).alias("receiver"), *keep), "calls")
     owner = F.substring_index(F.substring_index("parent_id", "::", -1), ".", -1)
     s = symbols.where("kind <> 'file'").select(F.col("id").alias("target_id"), "name", "file_path", F.when(F.col("kind") == "method", owner).otherwise("").alias("cls"))
     # A symbol is a candidate by its name, and, if it is a method, by its name and class.
     grouped = stash(s.withColumn("cls", F.lit("")).unionByName(s.where("cls <> ''")).withColumn("module", tx.module_of(F.col("file_path"))), "symbols-by-name")
     heads = stash(_first(grouped, ["name", "cls"], 3 * fan_out, "n", "ids"), "names")
-    named = c.join(heads.where("cls = ''").select("name", F.col("n").alias("all"), F.col("ids").alias("all_ids")), "name")
+    keys = ["name", "receiver", "qualifier", "caller_file"]
+    asked = c.select(*keys).distinct()
+    named = asked.join(heads.where("cls = ''").select("name", F.col("n").alias("all"), F.col("ids").alias("all_ids")), "name")
     typed = heads.where("cls <> ''").select("name", F.col("cls").alias("receiver"), F.col("n").alias("receivers"), F.col("ids").alias("typed_ids"))
     met = named.join(typed, ["name", "receiver"], "left").withColumns({"cls": F.when(F.col("receivers").isNull(), "").otherwise(F.col("receiver")), "ids": F.coalesce("typed_ids", "all_ids"), "module": tx.module_of(F.col("caller_file"))})
-    met = stash(met.select("call_id", "caller_id", "caller_file", "name", "cls", "qualifier", "module", "all", "receivers", "ids"), "named-calls")
-    plain = met.where("all = 1 OR receivers = 1").select("call_id", "caller_id", F.slice("ids", 1, 1).alias("targets"), F.when(F.col("all") == 1, 2).otherwise(3).alias("rule"))
+    met = stash(met.select(*keys, "cls", "module", "all", "receivers", "ids"), "asked")
+    plain = met.where("all = 1 OR receivers = 1").select(*keys, F.slice("ids", 1, 1).alias("targets"), F.when(F.col("all") == 1, 2).otherwise(3).alias("rule"))
     open_ = met.where("all > 1 AND (receivers IS NULL OR receivers > 1)")
     files = stash(_first(grouped, ["name", "cls", "file_path"], fan_out, "files", "file_ids"), "names-by-file")
     at = open_.join(files.withColumnRenamed("file_path", "caller_file"), ["name", "cls", "caller_file"], "left")
@@ -96,12 +99,26 @@ def link_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame | None =
     rule, targets = F.lit(8), some
     for number, fits, ids in reversed(rules):
         rule, targets = F.when(fits, number).otherwise(rule), F.when(fits, ids).otherwise(targets)
-    linked = plain.unionByName(at.select("call_id", "caller_id", targets.alias("targets"), rule.alias("rule")))
-    return linked.select("call_id", "caller_id", F.explode("targets").alias("target_id"), F.when(F.col("rule") == 8, "low").otherwise("high").alias("confidence"), "rule")
+    found = plain.unionByName(at.select(*keys, targets.alias("targets"), rule.alias("rule")))
+    found = found.select(*(F.col(k).alias(f"__{k}") for k in keys), "targets", "rule")
+    same_four = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return c.join(looked_up(found), same_four).select("call_id", "caller_id", "targets", "rule", *keep)
+
+
+def link_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame | None = None, fan_out: int = FAN_OUT) -> DataFrame:
+    """(call_id, caller_id, target_id, confidence, rule) of each target of each resolved call; of several the confidence is low."""
+    return resolved(calls, symbols, imports, fan_out).select("call_id", "caller_id", F.explode("targets").alias("target_id"), _confidence().alias("confidence"), "rule")
+
+
+def _confidence() -> Column:
+    return F.when(F.col("rule") == 8, "low").otherwise("high")
 
 
 def call_edges(linked: DataFrame) -> DataFrame:
-    """Edges of linked calls: one for each caller and target, as the first call has it."""
+    """Edges of linked calls: one for each caller and target, as the first call has it. linked: as of link_calls() or of
+    resolved(), whose calls are shuffled to their callers before they become a row for each target."""
+    if "targets" in linked.columns:
+        linked = linked.repartition("caller_id").select("call_id", "caller_id", F.explode("targets").alias("target_id"), _confidence().alias("confidence"))
     first = F.min_by("confidence", "call_id")
     return linked.groupBy(F.col("caller_id").alias("source_id"), "target_id").agg(first.alias("confidence")).select("source_id", "target_id", F.lit("calls").alias("edge_type"), F.lit(1.0).alias("weight"), "confidence")
 
@@ -119,10 +136,14 @@ def inherits_edges(classes: DataFrame) -> DataFrame:
 
 
 def contracts(calls: DataFrame, linked: DataFrame) -> DataFrame:
-    """(function_id, caller_id, error_handling, return_usage) of the surely linked calls; the last call of a pair counts."""
-    sure = linked.where("confidence = 'high'").select("call_id", F.col("target_id").alias("function_id"))
+    """(function_id, caller_id, error_handling, return_usage) of the surely linked calls; the last call of a pair counts.
+    linked: as of link_calls(), or of resolved() that has kept both columns, so that calls needn't be met again."""
     label = tx.error_label(F.col("error_handling.pattern"), F.col("error_handling.exception"))
-    rows = calls.select("call_id", "caller_id", label.alias("error_handling"), "return_usage").join(sure, "call_id")
+    if "targets" in linked.columns:
+        rows = linked.where("rule <> 8").select("call_id", "caller_id", label.alias("error_handling"), "return_usage", F.explode("targets").alias("function_id"))
+    else:
+        sure = linked.where("confidence = 'high'").select("call_id", F.col("target_id").alias("function_id"))
+        rows = calls.select("call_id", "caller_id", label.alias("error_handling"), "return_usage").join(sure, "call_id")
     last = F.max_by(F.struct("error_handling", "return_usage"), "call_id")
     return rows.groupBy("function_id", "caller_id").agg(last.alias("x")).select("function_id", "caller_id", "x.error_handling", "x.return_usage")
 

@@ -620,17 +620,17 @@ linked AS (SELECT call_id, caller_id, target_id, size, CASE WHEN rule = 8 THEN '
 
 def _linked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     calls = b.part_calls(spark, sf_dir)
-    return calls, linker.link_calls(calls, b.part_symbols(spark, sf_dir), b.part_imports(spark, sf_dir))
+    return calls, linker.resolved(calls, b.part_symbols(spark, sf_dir), b.part_imports(spark, sf_dir), keep=["error_handling", "return_usage"])
 
 
 @query("link_calls", f"{_LINK} SELECT call_id, caller_id, target_id, confidence, rule FROM linked")
 def _(spark, d):
-    return _linked(spark, d)[1]
+    return linker.link_calls(b.part_calls(spark, d), b.part_symbols(spark, d), b.part_imports(spark, d))
 
 
 @query("call_edges", f"{_LINK} SELECT caller_id AS source_id, target_id, 'calls' AS edge_type, 1.0::DOUBLE AS weight, arg_min(confidence, call_id) AS confidence FROM linked GROUP BY caller_id, target_id")
 def _(spark, d):
-    return linker.call_edges(_linked(spark, d)[1])
+    return linker.call_edges(_linked(spark, d)[1].drop("error_handling", "return_usage"))
 
 
 @query("contracts_linked", f"""{_LINK}, rows AS (SELECT target_id AS function_id, caller_id, CASE WHEN size > 45 THEN 'try_except:ValueError' WHEN size > 40 THEN 'try_except' ELSE 'none' END AS eh, CASE WHEN size > 10 THEN 'assigned' ELSE 'ignored' END AS ru, call_id FROM linked WHERE confidence = 'high')

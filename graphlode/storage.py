@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 #: A side of a join is broadcast only while its measured size is below this.
 BROADCAST_BYTES = 32 << 20
 #: Bytes of input files for which a shuffle has a partition of its own.
-SPREAD_BYTES = 4 << 20
+SPREAD_BYTES = 8 << 20
 _INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
 
@@ -98,6 +98,12 @@ def hinted(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def looked_up(df: DataFrame) -> DataFrame:
+    """df, whose keys are few a value, as the side of a shuffled join that is hashed: the other side, edges or calls, isn't
+    sorted, and a task holds its part of df only."""
+    return df.hint("shuffle_hash")
+
+
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if counting shows that it fits, else df itself (a shuffled join follows).
 

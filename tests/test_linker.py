@@ -201,3 +201,19 @@ def test_a_name_that_everything_has(spark):
     symbols = spark.range(20_000).selectExpr("concat('m', id % 50, '/f', id, '.py::get') AS id", "'function' AS kind", "'get' AS name", "concat('m', id % 50, '/f', id, '.py') AS file_path", "concat('m', id % 50, '/f', id, '.py') AS parent_id")
     calls = spark.range(20_000).selectExpr("concat('k', id) AS call_id", "'x' AS caller_id", "concat('q/', id, '.py') AS caller_file", "concat('v', id % 3, '.get') AS callee", "'' AS receiver_type")
     assert {(r.rule, r.n) for r in linker.link_calls(calls, symbols).groupBy("rule").agg(F.count("*").alias("n")).collect()} == {(8, 120_000)}
+
+
+def test_equal_calls_are_resolved_once(spark, monkeypatch):
+    """A thousand calls that differ in their callers alone meet symbols as one; forms with and without targets in a row agree."""
+    stored = {}
+    real = linker.stash
+    monkeypatch.setattr(linker, "stash", lambda df, name, *a: stored.setdefault(name, []).append(real(df, name, *a)) or stored[name][-1])
+    calls = spark.createDataFrame([(f"c{i}", f"f{i % 10}", "a.py", "go", None, ("try_except", None), "assigned") for i in range(1000)] + [("d", "f0", None, "stop", None, (None, None), "ignored")], "call_id string, caller_id string, caller_file string, callee string, receiver_type string, error_handling struct<pattern string, exception string>, return_usage string")
+    symbols = spark.createDataFrame([(f"s{i}", "function", "go", f"m{i}/x.py", "") for i in range(9)] + [("t", "function", "stop", "z.py", "")], "id string, kind string, name string, file_path string, parent_id string")
+    linked = linker.link_calls(calls, symbols)
+    assert linked.where("rule = 8 AND confidence = 'low'").count() == 6000 and linked.where("rule = 2").count() == 1
+    assert max(df.count() for name, tables in stored.items() for df in tables if name != "calls") <= 20
+    one_row = linker.resolved(calls, symbols, keep=["error_handling", "return_usage"])
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(linker.call_edges(one_row)) == rows(linker.call_edges(linked)) and linker.call_edges(linked).count() == 61
+    assert rows(linker.contracts(calls, one_row)) == rows(linker.contracts(calls, linked)) == [("t", "f0", "none", "ignored")]
