@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from graphlode.functions import text as tx
 from graphlode.operators import graph
-from graphlode.storage import stash
+from graphlode.storage import looked_up, stash
 
 FRAMEWORKS = {k.lower(): k for k in ("FastAPI", "Flask", "Django", "asyncio", "WebSockets", "React", "Express", "SQLAlchemy", "Pydantic", "pytest")} | {"torch": "PyTorch", "tensorflow": "TensorFlow"}
 
@@ -18,8 +18,8 @@ def _callers(edges: DataFrame) -> DataFrame:
 def beside_test(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id) of nodes that an edge of any type, either way, joins with a test."""
     tests = nodes.where(F.array_contains("tags", "test")).select("id")
-    ahead = edges.join(tests.withColumnRenamed("id", "source_id"), "source_id", "left_semi").select(F.col("target_id").alias("id"))
-    back = edges.join(tests.withColumnRenamed("id", "target_id"), "target_id", "left_semi").select(F.col("source_id").alias("id"))
+    ahead = edges.join(looked_up(tests.withColumnRenamed("id", "source_id")), "source_id", "left_semi").select(F.col("target_id").alias("id"))
+    back = edges.join(looked_up(tests.withColumnRenamed("id", "target_id")), "target_id", "left_semi").select(F.col("source_id").alias("id"))
     return ahead.unionByName(back).distinct()
 
 
@@ -103,7 +103,7 @@ def tree_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     per = nodes.where("kind <> 'file'").groupBy("file_path").agg(*(F.sum((F.col("kind") == k).cast("long")).alias(f"{k}_count") for k in ("class", "method", "function")))
     at = nodes.select("id", "file_path")
     calls = edges.where("edge_type = 'calls'").select("source_id", "target_id")
-    met = calls.join(at.select(F.col("id").alias("target_id"), "file_path"), "target_id").join(at.select(F.col("id").alias("source_id"), F.col("file_path").alias("from")), "source_id")
+    met = calls.join(looked_up(at.select(F.col("id").alias("target_id"), "file_path")), "target_id").drop("target_id").join(looked_up(at.select(F.col("id").alias("source_id"), F.col("file_path").alias("from"))), "source_id")
     outside = met.where(F.col("from") != F.col("file_path")).groupBy("file_path").agg(F.countDistinct("source_id").alias("called_by"))
     return per.join(outside, "file_path", "left").withColumn("called_by", F.coalesce("called_by", F.lit(0)).cast("long"))
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from graphlode.schema import REVERSE
-from graphlode.storage import broadcast_if_small, cut, hinted, release
+from graphlode.storage import broadcast_if_small, cut, hinted, looked_up, release
 
 #: Bytes a frontier row is taken to have.
 ROW = 100
@@ -133,12 +133,12 @@ def test_coverage(nodes: DataFrame, edges: DataFrame, max_hops: int = 3) -> Data
     """
     tests = nodes.where(F.array_contains("tags", "test")).select("id")
     calls = edges.where("edge_type = 'calls'").select("source_id", "target_id")
-    first = calls.join(broadcast_if_small(tests.withColumnRenamed("id", "source_id"), ROW), "source_id", "left_semi")
+    first = calls.join(broadcast_if_small(looked_up(tests.withColumnRenamed("id", "source_id")), ROW), "source_id", "left_semi")
     level = cut(first.groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("direct_count"), F.min("source_id").alias("via")))
     out = level.select("id", "direct_count", F.lit(True).alias("transitive"), F.lit(0).alias("hops"), F.lit("").alias("via"))
     visited, frontier = level.select("id"), level.select("id", "via")
     for hops in range(2, max_hops + 1):
-        met = calls.join(broadcast_if_small(frontier.withColumnRenamed("id", "source_id"), 2 * ROW), "source_id").groupBy(F.col("target_id").alias("id")).agg(F.min("via").alias("via"))
+        met = calls.join(broadcast_if_small(looked_up(frontier.withColumnRenamed("id", "source_id")), 2 * ROW), "source_id").groupBy(F.col("target_id").alias("id")).agg(F.min("via").alias("via"))
         frontier = cut(met.join(visited, "id", "left_anti"))
         if frontier.isEmpty():
             break
