@@ -99,3 +99,9 @@ def test_edges_are_shuffled_by_numbers(spark):
     tail = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [n#" in tail and "Aggregate [id#" not in tail
     assert {r.id for r in scores.cross_module(nodes, edges).collect()} == {"a", "b"}
+
+
+def test_tree_summary_sorts_no_calls(spark):
+    """A task holds its part of the nodes, not of the calls."""
+    plan = catalogue.QUERIES["tree_summary"](spark, str(DATA / "sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=shuffle_hash") == 2
